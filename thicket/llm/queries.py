@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm import conversations as talk
-from thicket.llm import splitting, tokens
+from thicket.llm import mixing, splitting, subjects, tokens
 from thicket.sources.tables import table
 
 
@@ -31,7 +31,32 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p5_found, p5_pieces, p6_ids)}
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture_of(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.reached_shares(p7_mixture(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
+    """Subjects spelt as in the table ``subjects``; a subject that it lacks isn't reported."""
+    listed = table(spark, folder, "subjects").select(F.col("subject").alias("spelt"), F.lower(F.trim("subject")).alias("subject")).distinct()
+    # The table of subjects is fixed and small; a broadcast is left to the session's size threshold.
+    return subjects.assign_subjects(table(spark, folder, "documents")).join(listed, "subject").select("doc_id", F.col("spelt").alias("subject"), "score")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.subject_shares(p8_subjects(spark, folder), table(spark, folder, "documents"))
+
+
+QUERIES = {
+    f.__name__: f for f in (p1_found, p1_conversations, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_subjects, p8_shares)
+}
 
 SQL = {
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 4000",
