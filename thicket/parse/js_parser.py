@@ -1,0 +1,114 @@
+"""Whether a text is a complete, valid one of its language, and where it first isn't."""
+
+from __future__ import annotations
+
+import functools
+import sys
+
+from thicket.parse.grammar import Compiled
+from thicket.parse.js_grammar import BINARY, JSON, MODULE, SETS
+from thicket.parse.js_lexer import SyntaxFault, tokenize, tokenize_json
+
+DIALECTS = {"javascript": (False, False), "jsx": (False, True), "typescript": (True, False), "tsx": (True, True)}
+#: Depth of nesting that a text may have.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
+
+
+@functools.cache
+def module_parser(tracing: bool = False) -> Compiled:
+    sets = {k: set(v) for k, v in SETS.items()}
+    sets["Binary"] = set(BINARY) | {"/"}
+    sets["Assign"] = sets["Assign"] | {"/="}
+    return Compiled(MODULE, sets, "Module", tracing)
+
+
+@functools.cache
+def json_parser(tracing: bool = False) -> Compiled:
+    return Compiled(JSON, SETS, "Text", tracing)
+
+
+_PLAIN_MEMBER = frozenset(["static", "async", "accessor"])
+
+
+def _predicates(kinds: list[str], lines: list[bool], match: list[int], offsets: list[int], ts: bool, jsx: bool, bodies: set[int]) -> dict:
+    def arrow(i: int) -> bool:
+        k = kinds[i]
+        if k == "async" and kinds[i + 1] != "=>":
+            if lines[i + 1]:
+                return False
+            i += 1
+            k = kinds[i]
+        if k == "(":
+            after = kinds[match[i] + 1]
+            return after == "=>" or ts and after == ":"
+        if k == "<":
+            return ts
+        return kinds[i + 1] == "=>"
+
+    def functype(i: int) -> bool:
+        k = kinds[i]
+        return k == "<" or k == "new" or k == "abstract" and kinds[i + 1] == "new" or k == "(" and kinds[match[i] + 1] == "=>"
+
+    def body(i: int) -> bool:
+        bodies.add(i)
+        return True
+
+    return {
+        "ts": lambda i: ts,
+        "nl": lambda i: not lines[i],
+        "asi": lambda i: lines[i] or kinds[i] in ("}", "EOF"),
+        "adjacent": lambda i: offsets[i] == offsets[i - 1] + 1,
+        "assertion": lambda i: ts and not jsx,
+        "member": lambda i: ts or kinds[i] in _PLAIN_MEMBER,
+        "arrow": arrow,
+        "functype": functype,
+        "body": body,
+    }
+
+
+def _early(kinds: list[str], match: list[int], bodies: set[int]) -> int | None:
+    """The first ``return`` outside of functions, if any."""
+    inside: list[int] = []
+    for i, k in enumerate(kinds):
+        if i in bodies and k == "{":
+            inside.append(match[i])
+        elif k == "}" and inside and inside[-1] == i:
+            inside.pop()
+        elif k == "return" and not inside and kinds[i + 1] not in (":", "(", "?", ",", "}") and kinds[i - 1] not in (",", "get", "set"):
+            return i
+    return None
+
+
+def fault(text: str, language: str) -> tuple[int, str] | None:
+    """(offset, message) of the first unrecoverable error of ``text``, or None where all of it is valid.
+
+    ``language`` is javascript, typescript, jsx, tsx or json. An empty script is valid, an empty JSON text isn't.
+    """
+    try:
+        if language == "json":
+            kinds, offsets = tokenize_json(text)
+            kinds.append("EOF")
+            far = [0]
+            if json_parser().bind(kinds, {}, far)(0) < 0:
+                json_parser(True).bind(kinds, {}, far)(0)
+                return offsets[min(far[0], len(offsets) - 1)], f"unexpected {kinds[far[0]]}"
+            return None
+        ts, jsx = DIALECTS[language]
+        kinds, lines, match, offsets = tokenize(text, ts, jsx)
+        kinds += ["EOF", "EOF"]
+        lines += [True, True]
+        bodies: set[int] = set()
+        predicates = _predicates(kinds, lines, match, offsets, ts, jsx, bodies)
+        far = [0]
+        if module_parser().bind(kinds, predicates, far)(0) < 0:
+            module_parser(True).bind(kinds, predicates, far)(0)
+            return offsets[min(far[0], len(offsets) - 1)], f"unexpected {kinds[far[0]]}"
+        if "return" in kinds:
+            at = _early(kinds, match, bodies)
+            if at is not None:
+                return offsets[at], "return outside of a function"
+        return None
+    except SyntaxFault as e:
+        return e.offset, str(e)
+    except RecursionError:
+        return 0, "nested too deeply"
