@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thicket.llm import conversations as talk
-from thicket.llm import docpairs, mixing, provenance, splitting, subjects, tokens
+from thicket.llm import docpairs, faults, mixing, provenance, splitting, subjects, tokens
 from thicket.sources.tables import table
 
 
@@ -19,6 +19,18 @@ def p1_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return talk.conversations(table(spark, folder, "chat_messages"))
 
 
+def p2_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return faults.parse_flags(table(spark, folder, "files"), table(spark, folder, "file_sources"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_flags(spark, folder).filter("not valid").select("file_id")
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return faults.fault_rates(p2_flags(spark, folder))
+
+
 def p3_reasons(spark: SparkSession, folder: str) -> DataFrame:
     return provenance.machine_made(table(spark, folder, "files"), table(spark, folder, "file_sources"))
 
@@ -71,7 +83,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_subjects, p8_shares)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_subjects, p8_shares)
 }
 
 SQL = {
