@@ -1,5 +1,13 @@
 """The core's queries over the catalog's tables, and their SQL."""
 
-FLAGSHIP = ""
+from __future__ import annotations
+
+from thicket.plans import graph_queries, text_queries
+
+FLAGSHIP = "hybrid_search"
+MODULES = (text_queries, graph_queries)
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _module in MODULES:
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
