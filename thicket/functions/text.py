@@ -16,8 +16,12 @@ def fold(text: Column) -> Column:
 
 
 def index_tokens(text: Column) -> Column:
-    """Tokens of the full-text index: runs of letters, digits, '_' and '$', folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}_$]+"), F.lit(0))
+    """Tokens of the full-text index: runs of letters, digits, '_' and '$', folded.
+
+    Marks are looked up only in the tokens that aren't plain ASCII, which are few.
+    """
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_$\p{L}\p{N}]+"), F.lit(0))
+    return F.transform(tokens, lambda t: F.when(t.rlike(r"[^\x00-\x7F]"), F.translate(t, MARKED, PLAIN)).otherwise(t))
 
 
 def split_identifiers(text: Column) -> Column:

@@ -127,7 +127,7 @@ def run_journal(runs: DataFrame, results: DataFrame) -> DataFrame:
     r = runs.dropDuplicates(["id"])
     counts = results.select("run_id", F.coalesce(F.size("errors"), F.lit(0)).alias("n")).groupBy("run_id").agg(F.max("n").alias("errors"))
     state = F.when(F.col("finished_at").isNull(), "running").when(F.col("error").isNotNull(), "failed").otherwise("done")
-    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1_000_000
+    seconds = (F.unix_micros(F.col("finished_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1_000_000
     return r.join(counts, r["id"] == counts["run_id"], "left").select(
         F.col("id").alias("run_id"), "repo_id", "kind", state.alias("state"), seconds.alias("seconds"), F.greatest(F.coalesce("errors", F.lit(0)), F.lit(0)).alias("errors")
     )

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from thicket.plans import graph_queries, text_queries
+from thicket.plans import graph_queries, index_queries, text_queries
 
 FLAGSHIP = "hybrid_search"
-MODULES = (text_queries, graph_queries)
+MODULES = (text_queries, graph_queries, index_queries)
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _module in MODULES:
