@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thicket.functions import ids, paths
 from thicket.operators import analysis, chat, graph, indexing, ranking, resolve
+from thicket.session import spread_partitions
 from thicket.sources.tables import table
 from thicket.streaming import watch
 
@@ -270,7 +271,8 @@ def truncated_list(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     s = table(spark, folder, "file_sources").filter("source is not null").dropDuplicates(["file_id"])
-    return s.select(ids.repo_of(F.col("file_id")).alias("repo_id"), ids.path_of(F.col("file_id")).alias("path"), "source")
+    rows = s.select(ids.repo_of(F.col("file_id")).alias("repo_id"), ids.path_of(F.col("file_id")).alias("path"), "source")
+    return rows.repartition(spread_partitions(spark), "repo_id", "path")
 
 
 @query()

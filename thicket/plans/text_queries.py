@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from thicket.functions import ids, text
 from thicket.functions.text import MARKED, PLAIN
 from thicket.operators import bm25, fusion, vectors
+from thicket.session import cut_lineage, spread
 from thicket.sources.tables import table
 
 QUERIES: dict = {}
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    return spread(table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source"))
 
 
 def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,7 +161,8 @@ FROM (SELECT DISTINCT doc_id FROM emb WHERE doc_id % 100 = 0) q CROSS JOIN (SELE
 
 def semantic_lists(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
     d = documents(spark, folder)
-    dense = vectors.dense(vectors.mock_embedding(d, "doc_id", "text"), "doc_id")
+    # Read by both sides and twice each: one small row a document is written instead of embedding anew.
+    dense = cut_lineage(vectors.dense(vectors.mock_embedding(d, "doc_id", "text"), "doc_id"))
     return vectors.top_k(dense, dense.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query"), "doc_id", "vector", k)
 
 

@@ -45,3 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def wide_partitions(spark: SparkSession) -> int:
     """Partitions of an explicit range repartitioning: as many as the session's shuffles use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread_partitions(spark: SparkSession) -> int:
+    """Partitions for stages that compute much for each row: no fewer than there are cores, whatever adaptive execution would merge."""
+    return max(wide_partitions(spark), spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with at least as many partitions as there are cores: shuffled only where the files have too few parts."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
