@@ -6,6 +6,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ GRAM, WINDOW = 64, 16
 COPIED, REPOSITORIES = 0.8, 5
 #: A file needs so many fingerprints to be told a copy.
 LEAST_PRINTS = 3
+#: More shapes of lines than any tool's output has here.
+MANY = 12
 
 CODE_SUFFIX = re.compile(r"\.(?:[cm]?[jt]sx?)$", re.I)
 _SCAN = re.compile(
@@ -53,35 +56,44 @@ def scan(text: str) -> list[tuple[str, str]]:
     return [(m.lastgroup, m[0]) for m in _SCAN.finditer(text)]
 
 
-def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW) -> list[int]:
-    """Winnowed hashes of the token stream without comments and space: of each window the least one, the last of equals."""
-    toks = [t for kind, t in scan(text) if kind not in ("comment", "space")]
-    if len(toks) < gram:
+_BASE = 6364136223846793005
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, ..., base**(n-1) modulo 2**64."""
+    steps = np.full(n, base, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps, dtype=np.uint64)
+
+
+def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW, toks: list[tuple[str, str]] | None = None) -> list[int]:
+    """Winnowed hashes of the token stream without comments and space: of each window the least one, the last of equals.
+
+    Hashes of all grams come from one prefix sum: a gram's is a difference of sums of codes over powers of the base, modulo 2**64.
+    """
+    codes = [zlib.crc32(t.encode("utf-8", "replace")) for kind, t in (scan(text) if toks is None else toks) if kind not in ("comment", "space")]
+    n = len(codes)
+    if n < gram:
         return []
-    codes = [zlib.crc32(t.encode("utf-8", "replace")) for t in toks]
-    base, mask = 1_000_003, (1 << 61) - 1
-    top = pow(base, gram, mask)
-    h, hashes = 0, []
-    for i, c in enumerate(codes):
-        h = (h * base + c) % mask
-        if i >= gram:
-            h = (h - codes[i - gram] * top) % mask
-        if i >= gram - 1:
-            hashes.append(h)
+    c = np.array(codes, dtype=np.uint64)
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(c * _powers(_INVERSE, n), out=sums[1:])
+    hashes = (sums[gram:] - sums[:-gram]) * _powers(_BASE, n)[gram - 1 :]
+    # The high bits of such a product are well mixed, the low ones aren't.
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    hashes = (hashes >> np.uint64(1)).astype(np.int64)
     if len(hashes) <= window:
-        return [min(hashes)]
-    out, at = [], -1
-    for i in range(len(hashes) - window + 1):
-        if at < i:
-            at = i
-            for j in range(i, i + window):
-                if hashes[j] <= hashes[at]:
-                    at = j
-            out.append(hashes[at])
-        elif hashes[i + window - 1] <= hashes[at]:
-            at = i + window - 1
-            out.append(hashes[at])
-    return list(dict.fromkeys(out))
+        return [int(hashes.min())]
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    # The last of equal minima: the first one from behind.
+    least = window - 1 - views[:, ::-1].argmin(axis=1) + np.arange(len(views))
+    return list(dict.fromkeys(hashes[np.unique(least)].tolist()))
+
+
+def _logic(text: str) -> int:
+    """Words of control flow, counted in the raw text: an unclosed quote in a damaged file must not hide them."""
+    return len(re.findall(r"\b(?:if|for|while|switch|try|throw|await|catch)\b\s*[({]?", re.sub(r"[\w+/=]{120,}", "", text)))
 
 
 def _json_kind(text: str, path: str) -> str | None:
@@ -112,22 +124,30 @@ def _numbered(text: str) -> int:
 
 
 def _skeletons(text: str) -> tuple[int, int]:
-    """(lines that say something, distinct shapes among them), with names, numbers and strings blanked; imports and barrels aside."""
-    shapes = []
+    """(lines that say something, distinct shapes among them), with names, numbers and strings blanked; imports and barrels aside.
+
+    Beyond MANY shapes a text is no tool's, however many more lines follow; counting ends there.
+    """
+    shapes: set[str] = set()
+    n = 0
     for line in text.split("\n"):
         line = line.strip()
         if len(line) < 4 or line.startswith(("//", "*", "/*", "import ", "export *", "export {")):
             continue
         line = re.sub(r"\"[^\"]*\"|'[^']*'|`[^`]*`", "S", line)
         line = re.sub(r"[\w$]+", lambda m: m[0] if m[0] in _CONTROL else "0" if m[0][0].isdigit() else "a", line)
-        shapes.append(re.sub(r"(?:[aS0][.,]?\s?)+", "a", line))
-    return len(shapes), len(set(shapes))
+        shapes.add(re.sub(r"(?:[aS0][.,]?\s?)+", "a", line))
+        n += 1
+        if len(shapes) > MANY:
+            break
+    return n, len(shapes)
 
 
-def written_by(text: str | None, path: str | None, language: str | None = None) -> str | None:
+def written_by(text: str | None, path: str | None, language: str | None = None, toks: list[tuple[str, str]] | None = None) -> str | None:
     """What kind of machine-made text a source is by itself, or None where it may be hand-written or is empty.
 
-    Content decides, never folder or name alone; comments only where the text's build agrees. ``language`` is the normalised one.
+    Content decides, never folder or name alone; comments only where the text's build agrees. ``language`` is the normalised one, ``toks`` the text's
+    scan where there is one.
     """
     if not text or not text.strip():
         return None
@@ -142,7 +162,7 @@ def written_by(text: str | None, path: str | None, language: str | None = None)
         lines = text.count("\n") + 1
         dense = len(text) > 400 and len(text) / lines > 300 and len(re.findall(r"\s", text)) < 0.09 * len(text)
         return "compressed" if dense and re.search(r"[{};]", text) else None
-    toks = scan(text)
+    toks = scan(text) if toks is None else toks
     size = dict.fromkeys(("comment", "string", "regex", "number", "word", "space", "sign"), 0)
     count = dict(size)
     for kind, t in toks:
@@ -151,9 +171,6 @@ def written_by(text: str | None, path: str | None, language: str | None = None)
     live = sum(size.values()) - size["comment"]
     bare = live - size["string"] - size["regex"]
     words = [t for kind, t in toks if kind == "word"]
-    # Counted in the raw text: an unclosed quote in a damaged file must not hide its logic.
-    logic = len(re.findall(r"\b(?:if|for|while|switch|try|throw|await|catch)\b\s*[({]?", re.sub(r"[\w+/=]{120,}", "", text)))
-    parts = len(re.findall(r"\bfunction\b|\bclass\b|\bfrom\s*['\"]\.|\brequire\(", text))
     lines = [x for x in text.split("\n") if x.strip()]
     head = "\n".join(lines[:12])
     comments_ahead = "\n".join(m[0] for m in re.finditer(r"\A(?:\s*(?://[^\n]*|/\*.*?\*/))+", head, re.S))
@@ -166,13 +183,15 @@ def written_by(text: str | None, path: str | None, language: str | None = None)
         return "compressed"
     literal = size["string"] + size["number"] + (size["sign"] if count["number"] > 100 else 0)
     many = count["number"] + count["string"]
-    if logic == 0 and parts == 0 and (live > 400 and literal > 0.7 * live and count["word"] * 16 < live or many > 100 and many > 3 * max(1, len(names) - count["string"])):
-        return "data"
+    if live > 400 and literal > 0.7 * live and count["word"] * 16 < live or many > 100 and many > 3 * max(1, len(names) - count["string"]):
+        if _logic(text) == 0 and not re.search(r"\bfunction\b|\bclass\b|\bfrom\s*['\"]\.|\brequire\(", text):
+            return "data"
     n, shapes = _skeletons(text)
     numbered = _numbered(text)
-    if shapes <= 9 and (n >= 30 and n >= 5 * shapes or numbered >= 3 and n >= 2 * shapes) or numbered >= 2 and shapes <= 7 and n <= 30:
+    # Even lines alone don't tell a tool from a patient hand; names counted one by one do.
+    if numbered >= 3 and shapes <= 9 and n >= 2 * shapes or numbered >= 2 and shapes <= 7 and n <= 30:
         return "generated"
-    if made and (shapes <= 12 and n >= 2 * shapes or n < 12 and logic <= 2):
+    if made and (shapes <= 12 and n >= 2 * shapes or n < 12 and _logic(text) <= 2):
         return "generated"
     if _UMD.search(text) and re.search(r"\bVERSION\b|\bversion\b|\bLICEN[CS]E\b|\(c\)|Copyright", text[:3000]):
         return "library"
@@ -194,8 +213,9 @@ def machine_made(files: DataFrame, sources: DataFrame, copied: float = COPIED, r
         for batch in batches:
             out = []
             for file, repo, path, language, text in zip(batch["file_id"], batch["repo_id"], batch["rel_path"], batch["language"], batch["source"]):
-                prints = fingerprints(text) if language != "other" else []
-                out.append((file, repo, written_by(text, path, language), prints if len(prints) >= LEAST_PRINTS else []))
+                toks = scan(text) if language != "other" else None
+                prints = fingerprints(text, toks=toks) if toks else []
+                out.append((file, repo, written_by(text, path, language, toks), prints if len(prints) >= LEAST_PRINTS else []))
             yield pd.DataFrame(out, columns=["file_id", "repo_id", "reason", "prints"])
 
     # Read twice below; what is kept of a text is an eighth of its tokens.
