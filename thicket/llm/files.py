@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thicket.session import spread_partitions
+
 # Names of languages as they are spelt in the catalog, and suffixes that tell a language.
 ALIASES = {
     "javascript": "javascript", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ecmascript": "javascript", "node": "javascript",
@@ -39,6 +41,8 @@ def sources_of(files: DataFrame, sources: DataFrame) -> DataFrame:
         F.min("repo_id").alias("repo_id"), F.min("rel_path").alias("rel_path"), F.min("language").alias("language")
     )
     texts = sources.select("file_id", "source").filter("file_id is not null and source is not null")
+    # The join's own shuffle, with its number of partitions fixed: the parsing that follows needs all cores.
+    texts = texts.repartition(spread_partitions(sources.sparkSession), "file_id")
     joined = texts.join(one, "file_id", "left").select(
         "file_id",
         F.coalesce("repo_id", F.substring_index("file_id", ":", 1)).alias("repo_id"),
