@@ -132,7 +132,7 @@ def subgraph(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None,
 
 
 def shortest_path(edges: DataFrame, source, target, most: int = MOST_HOPS) -> DataFrame:
-    """(step, id, edge) of a shortest undirected path over all edge types, no rows where ``most`` hops don't do.
+    """(step, id, edge) of a shortest undirected path over all edge types, each node with the edge that leads to it; no rows where ``most`` hops don't do.
 
     Among equally short ones it takes at each node the least parent, and the least type of edge to it. The distances are found in
     a distributed way; the driver then walks back along at most ``most`` nodes, one lookup each.

@@ -68,6 +68,9 @@ def resolve(t: dict[str, DataFrame], aliases: list[tuple[str, list[str]]] | None
     led = resolve_exports(need, exports, t["symbols"].select("file", "qualified", "id")).select(F.col("file").alias("target_file"), F.col("name").alias("imported"), "symbol_id")
     bindings = bound.join(led, ["target_file", "imported"], "left")
     refs = t["refs"].filter("kind <> 'handles'").select("repo_id", "path", "file", F.coalesce("scope", F.lit("")).alias("scope"), "name", "kind", "line")
+    # A provider element refers to its context.
+    provider = (F.col("kind") == "jsx") & F.col("name").endswith(".Provider")
+    refs = refs.withColumn("provides", provider).withColumn("name", F.when(provider, F.regexp_replace("name", r"\.Provider$", "")).otherwise(F.col("name")))
     return resolve_references(refs, t["symbols"].select("file", "qualified", "id"), bindings)
 
 
@@ -120,7 +123,7 @@ def edges_of(t: dict[str, DataFrame], references: DataFrame, aliases: list[tuple
         .when(F.col("kind") == "call", "CALLS")
         .when((F.col("kind") == "hook") & (F.col("target_kind") == "hook"), "USES_HOOK")
         .when(F.col("kind") == "hook", "CALLS")
-        .when((F.col("kind") == "jsx") & F.col("name").endswith(".Provider"), "PROVIDES_CONTEXT")
+        .when(F.col("provides"), "PROVIDES_CONTEXT")
         .when((F.col("kind") == "jsx") & (F.col("target_kind") == "component"), "USES_COMPONENT")
         .when(F.col("kind") == "write", "WRITES")
         .when((F.col("kind") == "read") & (F.col("target_kind") == "context"), "CONSUMES_CONTEXT")

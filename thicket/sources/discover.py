@@ -30,7 +30,10 @@ def ignored(path, globs: list[str] | None = None):
 
 
 def discover(spark: SparkSession, root: str, suffixes: list[str] | None = None, globs: list[str] | None = None) -> DataFrame:
-    """(path, size, source, hash) of the sources below ``root``; unreadable files are skipped by the reader."""
+    """(path, size, source, hash) of the sources below ``root``.
+
+    Unreadable files are skipped by the reader, and so are names that start with '.' or '_', which Spark's file sources never list.
+    """
     at = F.regexp_replace("path", r"^file:/*", "/")
     base = "/" + root.strip("/") + "/"
     files = (
