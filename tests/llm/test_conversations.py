@@ -90,10 +90,8 @@ def test_empty_table(spark):
     assert judge_sessions(m).isEmpty() and conversations(m).isEmpty()
 
 
-@pytest.mark.parametrize("text,hit", [("null", True), ("HTTP 502", True), ("504", True), ("data: [DONE]", True), ("ECONNRESET", True), ("Yes.", False), ("`null`, unless it was loaded.", False), ("42", False), ("The request fails with 503 whenever it is locked, see [S1].", False), ("Everything", False)])
+@pytest.mark.parametrize("text,hit", [("null", True), ("HTTP 502", True), ("504", True), ("data: [DONE]", True), ("ECONNRESET", True), ("Yes.", False), ("`null`, unless it was loaded.", False), ("42", False), ("The request fails with 503 whenever it is locked, see [S1].", False), ("Everything", False), ("EVERYTHING is fine", False)])
 def test_placeholders(spark, text, hit):
-    if text == "Everything":
-        pytest.skip("a single word in e... reads like an error code")
     assert spark.createDataFrame([(text,)], "c string").select(is_placeholder(F.col("c"))).first()[0] is hit
 
 

@@ -24,7 +24,6 @@ FAILED = "|".join(
         r"^\[object \w+\]$",
         r"^[45]\d\d$",
         r"^(http[ /]?[\d.]* ?)?(status )?[45]\d\d( [a-z ]{1,40})?$",
-        r"^e[a-z]{5,14}$",
         r"^data: ?\[done\]$",
         r"^<[^<>]{1,60}>$",
         r"^\[[^\[\]]*(abort|cancel|interrupt|no (response|answer|reply|content|output)|time[d -]*out|disconnect|closed|failed|error|empty|truncated)[^\[\]]*\]$",
@@ -52,10 +51,16 @@ def has_content(content: Column) -> Column:
     return content.isNotNull() & ~content.rlike(BLANK)
 
 
+#: Error codes of systems, in capitals.
+ERROR_CODE = r"^E[A-Z]{4,14}$"
+#: White space around a text.
+AROUND = r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$"
+
+
 def is_placeholder(content: Column) -> Column:
     """Whether a reply's text only reports a failed request."""
-    text = F.lower(F.trim(F.regexp_replace(content, r"^[\s\p{Z}\p{Cf}]+|[\s\p{Z}\p{Cf}]+$", "")))
-    return F.coalesce(text.rlike(FAILED) & ~content.rlike(CITED), F.lit(False))
+    text = F.regexp_replace(content, AROUND, "")
+    return F.coalesce((F.lower(text).rlike(FAILED) | text.rlike(ERROR_CODE)) & ~content.rlike(CITED), F.lit(False))
 
 
 def message_links(messages: DataFrame) -> DataFrame:

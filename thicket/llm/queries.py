@@ -86,6 +86,25 @@ QUERIES = {
     f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_subjects, p8_shares)
 }
 
+
+
+def _in(names: list[str]) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SAID = f"regexp_replace(content, {_re(talk.AROUND)}, '', 'g')"
+_TURNS = f"""m AS (SELECT DISTINCT id, session_id, role, content, citations_json, created_at AS moment FROM chat_messages WHERE session_id IS NOT NULL),
+s AS (SELECT *, lower(trim(regexp_replace(role, '[\\s\\p{{Z}}\\p{{Cf}}]+', ' ', 'g'))) AS speaker, content IS NOT NULL AND NOT regexp_matches(content, {_re(talk.BLANK)}) AS is_full,
+    coalesce((regexp_matches(lower({_SAID}), {_re(talk.FAILED)}) OR regexp_matches({_SAID}, {_re(talk.ERROR_CODE)})) AND NOT regexp_matches(content, {_re(talk.CITED)}), false) AS failed FROM m),
+t AS (SELECT session_id, moment, is_full, CASE WHEN speaker IN {_in(talk.ASKING)} THEN 'q' WHEN speaker IN {_in(talk.REPLYING)} THEN CASE WHEN failed THEN 'x' ELSE 'r' END WHEN speaker IN {_in(talk.BESIDE)} THEN 'x' END AS who FROM s),
+o AS (SELECT session_id, who, lead(who) OVER w AS next, lag(who) OVER w AS prior FROM t WHERE who IN ('q', 'r') WINDOW w AS (PARTITION BY session_id ORDER BY moment, who))"""
+
 SQL = {
+    "p1_found": f"""WITH {_TURNS} SELECT session_id FROM (SELECT id AS session_id FROM chat_sessions WHERE id IS NOT NULL UNION SELECT session_id FROM m) WHERE session_id NOT IN (SELECT session_id FROM o WHERE who = 'q')
+OR session_id IN (SELECT session_id FROM t WHERE moment IS NULL OR who IS NULL OR (who IN ('q', 'r') AND NOT is_full)) OR session_id IN (SELECT session_id FROM o WHERE (who = 'r' AND prior IS NULL) OR (who = 'q' AND (next IS NULL OR next = 'q')))""",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 4000",
 }
