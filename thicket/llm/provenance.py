@@ -184,7 +184,9 @@ def written_by(text: str | None, path: str | None, language: str | None = None,
     literal = size["string"] + size["number"] + (size["sign"] if count["number"] > 100 else 0)
     many = count["number"] + count["string"]
     if live > 400 and literal > 0.7 * live and count["word"] * 16 < live or many > 100 and many > 3 * max(1, len(names) - count["string"]):
-        if _logic(text) == 0 and not re.search(r"\bfunction\b|\bclass\b|\bfrom\s*['\"]\.|\brequire\(", text):
+        # Tables and blobs are flat; an object nested deeper is a configuration, whatever its suffix.
+        flat = len({len(x) - len(x.lstrip()) for x in lines}) <= 3
+        if flat and _logic(text) == 0 and not re.search(r"\bfunction\b|\bclass\b|\bfrom\s*['\"]\.|\brequire\(", text):
             return "data"
     n, shapes = _skeletons(text)
     numbered = _numbered(text)
