@@ -79,7 +79,7 @@ def top_k(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2
         n = max(1, -(-rows.count() // size))
         return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct("id", "v")).alias(out))
 
-    left = packed(queries.withColumnRenamed(vector, vector), query_key, QUERY_BLOCK, "q")
+    left = packed(queries, query_key, QUERY_BLOCK, "q")
     right = packed(data, key, DATA_BLOCK, "d")
     pairs = right.crossJoin(left).select("q", "d")
 
@@ -100,7 +100,7 @@ def top_k(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2
                         norm = np.linalg.norm(m, axis=1, keepdims=True)
                         np.divide(m, norm, out=m, where=norm > 0)
                     ids = np.array([r["id"] for r in ds], dtype=object)
-                    order = np.argsort(np.array([str(x).zfill(20) if isinstance(x, int) else str(x) for x in ids]), kind="stable")
+                    order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
                     ids, b = ids[order], b[order]
                     scores = np.round(a @ b.T, 9)
                     most = min(k, len(ids))
