@@ -135,3 +135,25 @@ def test_subjects_agree_with_labels():
     pairs = {(i, s.strip().lower()) for i, s in zip(labels.doc_id, labels.subject) if i in d.index}
     found = {(i, s) for i in {i for i, _ in pairs} for s in treated(d[i] or "")}
     assert len(pairs & found) >= 0.9 * len(pairs) and len(pairs & found) >= 0.8 * len(found)
+
+
+@pytest.mark.parametrize(
+    "text,subject",
+    [
+        ("Astrophysicists aimed the observatory at the exoplanet. Its atmosphere holds carbon dioxide. The infrared wavelength gave it away.", "science"),
+        ("The jury heard the cross-examination until noon. Her barrister called the testimony hearsay. The magistrate disagreed.", "law"),
+        ("The pilot reported low jet fuel. Air traffic control cleared an emergency landing. Two airliners had to wait at the taxiway.", "transport"),
+        ("Marinate the chicken in soy sauce. Knead the pastry meanwhile. Preheated frying pan, olive oil, parsley.", "food"),
+        ("Der Straßenverkehr stand still. Die Straßenbahnen kamen nicht weiter. Alle Fahrgäste stiegen an der Haltestelle aus.", "transport"),
+        ("La guitarrista afinó antes del concierto. El clarinete perdió el ritmo. La sinfonía terminó tarde.", "music"),
+    ],
+)
+def test_subjects_in_other_words(text, subject):
+    assert treated(text) == {subject}
+
+
+def test_terms_are_no_sentence_fragments():
+    from thicket.llm.subject_terms import TERMS
+
+    listed = {t.strip() for block in TERMS.values() for t in block.replace("~", ",").replace("\n", ",").split(",")}
+    assert not listed & {"mass that nobody has measured", "light from that star", "crystal stopped", "landed with fuel", "parcels for the island", "spruce boards", "cloth until", "evidence had been obtained", "wrong quarter"}
