@@ -93,3 +93,31 @@ def test_deep_and_long():
     assert fault("x = " + "[" * 3000 + "]" * 3000, "javascript") is None
     assert fault("x = 1" + " + 1" * 100_000, "javascript") is None
     assert fault("[" * 5000 + "]" * 5000, "json") is None
+
+
+@pytest.mark.parametrize(
+    "path,text,names",
+    [
+        ("a.js", "}\n<<<<<<< HEAD\nexport function a() { b(); }\n=======\n>>>>>>> x\nexport const c = () => { d(); };\n", ["a", "c"]),
+        ("a.ts", "function f() {\n  if (x) {\n    g();\n}\n\nclass A {\n  m() {\n    x();\n  n() {\n    return 2;\n  }\n}\nexport const last = 1;\n", ["f", "A", "A.m", "A.n", "last"]),
+        ("a.js", "const a = foo('abc);\nfunction b() { return 'x'; }\n", ["a", "b"]),
+        ("a.js", "const t = `abc\nfunction b() {\n  return 2;\n}\n", ["t", "b"]),
+        ("a.jsx", "export function A() {\n  return (\n    <div>\n      <p>hi</p>\n  );\n}\nfunction B() {\n  return <b>x</b>;\n}\n", ["A", "B"]),
+        ("a.jsx", "const a = <div>\nfunction B() { return <b>x</b>; }\n", ["a", "B"]),
+        ("a.js", "".join(f"const a{i} = );\n" for i in range(120)) + "function last() {}\n", [*[f"a{i}" for i in range(120)], "last"]),
+    ],
+)
+def test_damaged_sources_are_read_to_their_end(path, text, names):
+    from thicket.parse.extract import extract
+
+    read = extract(path, text)
+    assert read.error and [s.qualified for s in read.symbols] == names
+
+
+@pytest.mark.parametrize("text", ["<a>" * 3000, "{\n" * 3000, "(<a>{" * 1000, "`${" * 1000, "'\n}" * 1000])
+def test_damaged_brackets_match(text):
+    from thicket.parse.js_lexer import tokenize_damaged
+
+    kinds, lines, match, offsets = tokenize_damaged(text, False, True)
+    assert len(kinds) == len(lines) == len(match) == len(offsets) and offsets == sorted(offsets)
+    assert all(m < 0 or match[m] == i for i, m in enumerate(match))

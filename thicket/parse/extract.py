@@ -1,7 +1,7 @@
 """Symbols, imports, exports and references out of one source file, by its tokens and matched brackets.
 
-It needs no complete parse: a damaged file is cut before its first fault and closed, and what stands before is extracted. Plug-ins
-are functions of the file's ``Reader`` that add to its lists, in the order of ``EXTRACTORS``.
+It needs no complete parse: in a damaged file what can't be read is skipped, open brackets are closed, and all that stands before and
+after is extracted. Plug-ins are functions of the file's ``Reader`` that add to its lists, in the order of ``EXTRACTORS``.
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from dataclasses import dataclass, field
 
 from thicket.errors import ParseError
 from thicket.operators.resolve import BUILTINS
-from thicket.parse.js_lexer import SyntaxFault, tokenize
+from thicket.parse.js_lexer import SyntaxFault, tokenize, tokenize_damaged
 from thicket.parse.js_parser import DIALECTS
 
 # Suffixes of each dialect (plain JavaScript is read with JSX), verbs of routes, and built-in hooks.
 BY_SUFFIX = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "jsx", "jsx": "jsx", "mjs": "jsx", "cjs": "jsx"}
 VERBS = {"get", "post", "put", "patch", "delete", "head", "options", "all"}
-_OPEN = {"(": ")", "[": "]", "{": "}", "${": "}"}
 _HOOK = re.compile(r"use[A-Z0-9]")
 _IDENT = re.compile(r"[\w$]+")
 
@@ -52,7 +51,7 @@ class Reader:
             tokens = tokenize(text, ts, jsx)
         except SyntaxFault as fault:
             self.error = f"{fault} at line {text.count(chr(10), 0, fault.offset) + 1}"
-            tokens = self._rescued(text, fault.offset, ts, jsx)
+            tokens = tokenize_damaged(text, ts, jsx)
         self.kinds, self.lines, self.match, self.offsets = tokens
         self.n = len(self.kinds) - 1
         self.breaks = [m.start() for m in re.finditer("\n", text)]
@@ -63,26 +62,6 @@ class Reader:
         self.named: set[int] = set()
         self._seen: set[tuple] = set()
 
-    @staticmethod
-    def _rescued(text: str, offset: int, ts: bool, jsx: bool):
-        cut = text.rfind("\n", 0, offset) + 1
-        for _ in range(50):
-            head = text[:cut]
-            stack: list[str] = []
-            for m in re.finditer(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|[()\[\]{}]", head, re.S):
-                c = m[0]
-                if c in _OPEN:
-                    stack.append(_OPEN[c])
-                elif stack and c == stack[-1]:
-                    stack.pop()
-            try:
-                return tokenize(head + "\n" + "".join(reversed(stack)), ts, jsx)
-            except SyntaxFault:
-                cut = text.rfind("\n", 0, max(0, cut - 1)) + 1
-                if cut <= 0:
-                    break
-        return ["EOF"], [True], [-1], [0]
-
     def word(self, i: int) -> str:
         m = _IDENT.match(self.text, self.offsets[i]) if i < self.n else None
         return m[0] if m else ""

@@ -40,13 +40,40 @@ _ENDS_OPERAND = frozenset(["ID", *CONTEXTUAL, "NUM", "STR", "TPL", "TPLT", "REGE
 _BLOCK_BEFORE = frozenset([")", ";", "{", "}", "else", "do", "try", "finally", "", "=>"])
 _HEADS = frozenset(["if", "while", "for", "with"])
 _CLOSER = {"(": ")", "[": "]", "{": "}"}
+_REST = re.compile(r"[^\n\r\u2028\u2029]*")
+_MALFORMED = re.compile(r"\d[\w$.]*|[\s\S]")
 LINE_ENDS = re.compile(r"[\n\r\u2028\u2029]")
 
 
-def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], list[int], list[int]]:
+class Repairs:
+    """What a damaged text's reading makes up for. ``unclosed`` and ``spare`` are those of an earlier reading, known ahead in the next."""
+
+    def __init__(self, unclosed: frozenset[int] = frozenset(), spare: int = 0):
+        self.known, self.left = unclosed, spare
+        #: Offsets of brackets closed by force, and how many closing braces had no opener.
+        self.unclosed: set[int] = set()
+        self.spare = 0
+        #: Offsets of '<' that begin no element.
+        self.plain: set[int] = set()
+        #: The first token of each element by the last one of its opening tag.
+        self.born: dict[int, int] = {}
+
+
+def tokenize_damaged(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], list[int], list[int]]:
+    """As ``tokenize`` for a damaged text: what can't be read is skipped and the text is read on to its end.
+
+    It is read twice: only at the end it shows which brackets stay open. The second reading closes these where a line is no further
+    indented than theirs, so what follows isn't taken for their contents.
+    """
+    first = Repairs()
+    tokens = tokenize(text, ts, jsx, first)
+    return tokenize(text, ts, jsx, Repairs(frozenset(first.unclosed), first.spare)) if first.unclosed or first.spare else tokens
+
+
+def tokenize(text: str, ts: bool, jsx: bool, repairs: Repairs | None = None) -> tuple[list[str], list[bool], list[int], list[int]]:
     """(kinds, whether a line ends before, index of the matching bracket or -1, offsets), closed by EOF.
 
-    It raises SyntaxFault at what can't be a token and at a bracket or tag that doesn't match.
+    It raises SyntaxFault at what can't be a token and at a bracket or tag that doesn't match, unless there are ``repairs``.
     """
     kinds: list[str] = []
     lines: list[bool] = []
@@ -76,18 +103,58 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
         if text.startswith(">", gap):
             put(">J", gap)
             stack.append(("child", len(kinds) - 1, ""))
+            if repairs is not None:
+                repairs.born[len(kinds) - 1] = len(kinds) - 2
             return gap + 1
         stack.append(("tag", len(kinds) - 1, None))
         return offset + 1
 
+    def fail(message: str, offset: int) -> None:
+        if repairs is None:
+            raise SyntaxFault(message, offset)
+
+    def indent(offset: int) -> int:
+        line = text[text.rfind("\n", 0, offset) + 1 : offset]
+        return len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())
+
+    def force(offset: int) -> None:
+        """Closes the innermost bracket or element at an offset."""
+        opener, k, _ = stack.pop()
+        if opener in _CLOSER or opener == "${":
+            repairs.unclosed.add(offsets[k])
+            put("TPLT" if opener == "${" else _CLOSER[opener], offset)
+            if opener != "${":
+                match[k] = len(kinds) - 1
+                match[-1] = k
+
+    def rewind(lowest: bool) -> int:
+        """Takes back an unclosed element, the outermost or the innermost one, and reads its '<' as a sign; the offset after it."""
+        n = next(n for n in (range(len(stack)) if lowest else range(len(stack) - 1, -1, -1)) if stack[n][0] in ("tag", "child"))
+        kind, k, _ = stack[n]
+        k = repairs.born[k] if kind == "child" else k
+        offset, line = offsets[k], lines[k]
+        if lowest:
+            # All that are open at the end at once: each is then read again only once.
+            repairs.plain.update(offsets[repairs.born[x[1]] if x[0] == "child" else x[1]] for x in stack[n:] if x[0] in ("tag", "child"))
+        repairs.plain.add(offset)
+        del stack[n:], kinds[k:], lines[k:], match[k:], offsets[k:]
+        if not (stack and stack[-1][0] == "child"):
+            put("<", offset, line)
+        return offset + 1
+
     while True:
         top = stack[-1][0] if stack else ""
+        if at >= n and repairs is not None and any(x[0] in ("tag", "child") for x in stack):
+            at, prev, operand_closed = rewind(True), "<", False
+            continue
         if top == "child":
             m = _JSX_TEXT.match(text, at)
             if m.end() > at:
                 put("JTEXT", at)
             at = m.end()
             if at >= n:
+                if repairs is not None:
+                    continue
                 break
             c = text[at]
             if c == "{":
@@ -95,6 +162,8 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
                 stack.append(("{", len(kinds) - 1, False))
                 prev = "{"
                 at += 1
+            elif c == "<" and repairs is not None and at in repairs.plain:
+                at += 1
             elif c == "<":
                 gap = _GAP.match(text, at + 1).end()
                 if not text.startswith("/", gap):
@@ -117,19 +186,34 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
                     else:
                         break
                 if at >= n or text[at] != ">":
-                    raise SyntaxFault("closing tag isn't complete", at)
+                    fail("closing tag isn't complete", at)
+                    at -= 1
                 if name != stack[-1][2]:
-                    raise SyntaxFault(f"closing tag {name!r} for {stack[-1][2]!r}", at)
+                    fail(f"closing tag {name!r} for {stack[-1][2]!r}", at)
+                    own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] != "child" or stack[k][2] == name), -1)
+                    if own < 0 or stack[own][0] != "child":
+                        put(">J", at)
+                        at += 1
+                        continue
+                    del stack[own + 1 :]
                 put(">J", at)
                 stack.pop()
                 at += 1
                 prev = ">J"
             else:
-                raise SyntaxFault(f"unexpected {c!r} in text of an element", at)
+                fail(f"unexpected {c!r} in text of an element", at)
+                if c == "}" and any(x[0] in ("{", "${") for x in stack):
+                    while stack[-1][0] == "child":
+                        stack.pop()
+                    prev, operand_closed = ">J", True
+                else:
+                    at += 1
             continue
         if top == "tag":
             at = _GAP.match(text, at).end()
             if at >= n:
+                if repairs is not None:
+                    continue
                 break
             c = text[at]
             m = _JSX_NAME.match(text, at)
@@ -139,7 +223,9 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
             elif c in "'\"":
                 m = _JSX_STRING.match(text, at)
                 if not m:
-                    raise SyntaxFault("string isn't closed", at)
+                    fail("string isn't closed", at)
+                    at, prev, operand_closed = rewind(False), "<", False
+                    continue
                 put("JSTR", at)
                 at = m.end()
             elif c == "{":
@@ -150,7 +236,9 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
             elif c == "/":
                 gap = _GAP.match(text, at + 1).end()
                 if not text.startswith(">", gap):
-                    raise SyntaxFault("unexpected '/' in a tag", at)
+                    fail("unexpected '/' in a tag", at)
+                    at, prev, operand_closed = rewind(False), "<", False
+                    continue
                 put("/>J", at)
                 stack.pop()
                 at = gap + 1
@@ -169,6 +257,8 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
                     k += 1
                 put(">J", at)
                 stack[-1] = ("child", len(kinds) - 1, name)
+                if repairs is not None:
+                    repairs.born[len(kinds) - 1] = first
                 at += 1
             elif c in "=.:":
                 put(c + "J", at)
@@ -178,17 +268,27 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
             elif c == "<" and ts and kinds[-1] == "JNAME" and (m := _TAG_TYPES.match(text, at)):
                 at = m.end()
             else:
-                raise SyntaxFault(f"unexpected {c!r} in a tag", at)
+                fail(f"unexpected {c!r} in a tag", at)
+                at, prev, operand_closed = rewind(False), "<", False
             continue
         m = token(text, at)
         if m is None:
             at = _GAP.match(text, at).end()
             if at >= n:
                 break
-            raise SyntaxFault(f"unexpected {text[at]!r}", at)
+            fail(f"unexpected {text[at]!r}", at)
+            # The rest of the line goes with an open string, a malformed number goes as a whole.
+            at = (_REST if text[at] in "'\"" else _MALFORMED).match(text, at).end()
+            continue
         group = m.lastindex
         start = m.start(group)
         line = start > at and LINE_ENDS.search(text, at, start) is not None
+        if repairs is not None and line and stack and text[start] not in ")]}" and offsets[stack[-1][1]] in repairs.known:
+            while stack and offsets[stack[-1][1]] in repairs.known and indent(start) <= indent(offsets[stack[-1][1]]):
+                force(at)
+            if stack and stack[-1][0] == "child":
+                continue
+            prev, operand_closed = kinds[-1], False
         at = m.end()
         if group == 2:
             word = m[2]
@@ -205,7 +305,10 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
                 stack.pop()
                 t = _TEMPLATE.match(text, at)
                 if not t:
-                    raise SyntaxFault("template isn't closed", start)
+                    fail("template isn't closed", start)
+                    put("TPLT", start, line)
+                    prev, operand_closed = "TPLT", True
+                    continue
                 kind = "TPLT" if t[1] == "`" else "TPLM"
                 put(kind, start, line)
                 at = t.end()
@@ -214,12 +317,32 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
                 prev = kind
                 operand_closed = kind == "TPLT"
                 continue
-            if kind == "<" and jsx and not operand_closed and at < n and (text[at] in ">_$" or text[at].isalpha()):
+            if kind == "<" and jsx and not operand_closed and at < n and (text[at] in ">_$" or text[at].isalpha()) and not (repairs is not None and start in repairs.plain):
                 generic = ts and (_GENERIC.match(text, start) or (g := _GENERIC_CALL.match(text, start)) and f"</{g[1]}" not in text)
                 if not generic:
                     at = open_tag(start)
                     lines[-1 if kinds[-1] == "<J" else -2] = line
                     continue
+            if repairs is not None and kind in ")]}":
+                own = next((k for k in range(len(stack) - 1, -1, -1) if _CLOSER.get(stack[k][0], "}" if stack[k][0] == "${" else "") == kind or stack[k][0] in ("tag", "child")), -1)
+                if own >= 0 and kind == "}" and line:
+                    # A brace at the start of a line belongs to the one whose line is indented alike.
+                    level = indent(start)
+                    alike = next((k for k in range(own, -1, -1) if stack[k][0] in ("tag", "child") or stack[k][0] == "{" and indent(offsets[stack[k][1]]) <= level), -1)
+                    if alike >= 0 and stack[alike][0] == "{" and indent(offsets[stack[alike][1]]) == level:
+                        own = alike
+                    elif repairs.left and indent(offsets[stack[own][1]]) < level:
+                        repairs.left -= 1
+                        continue
+                if own < 0 or stack[own][0] in ("tag", "child"):
+                    repairs.spare += kind == "}"
+                    continue
+                if own < len(stack) - 1:
+                    while len(stack) - 1 > own:
+                        force(start)
+                if stack[-1][0] == "${":
+                    at = start
+                    continue
             kinds.append(kind)
             lines.append(line)
             match.append(-1)
@@ -248,7 +371,8 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
         elif group == 6:
             t = _TEMPLATE.match(text, at)
             if not t:
-                raise SyntaxFault("template isn't closed", start)
+                fail("template isn't closed", start)
+                continue
             prev = "TPL" if t[1] == "`" else "TPLH"
             put(prev, start, line)
             at = t.end()
@@ -257,17 +381,19 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
             operand_closed = prev == "TPL"
         elif group == 7:
             if text.startswith("*", at):
-                raise SyntaxFault("comment isn't closed", start)
+                fail("comment isn't closed", start)
+                at = _REST.match(text, at).end()
+                continue
             r = None if operand_closed else _REGEX.match(text, start)
             if r:
                 if len(set(r[1])) < len(r[1]) or set(r[1]) - set("dgimsuvy"):
-                    raise SyntaxFault("flags of a regular expression", start)
+                    fail("flags of a regular expression", start)
                 put("REGEX", start, line)
                 at = r.end()
                 prev = "REGEX"
                 operand_closed = True
             elif not operand_closed:
-                raise SyntaxFault("regular expression isn't closed", start)
+                fail("regular expression isn't closed", start)
             else:
                 prev = "/=" if text.startswith("=", at) else "/"
                 at += prev == "/="
@@ -278,7 +404,9 @@ def tokenize(text: str, ts: bool, jsx: bool) -> tuple[list[str], list[bool], lis
             put(prev, start, line)
             operand_closed = True
     if stack:
-        raise SyntaxFault("the text ends before what it opened is closed", n)
+        fail("the text ends before what it opened is closed", n)
+        while stack:
+            force(n)
     kinds.append("EOF")
     lines.append(True)
     match.append(-1)
