@@ -63,6 +63,22 @@ def test_kinds_of_text(path, text, made):
     assert (written_by(text, path) is not None) is made
 
 
+MESSAGES = "".join(f"export interface A{i}Msg {{\n  a?: string;\n}}\n" for i in "abcdefghijkl")
+
+
+@pytest.mark.parametrize(
+    "path,text",
+    [
+        ("a.ts", "/*\n" + " * Some words of a licence.\n" * 40 + " */\n\n// Code generated by gen. DO NOT EDIT.\n" + MESSAGES),
+        ("a.ts", "/*\n" + " * Some words of a licence.\n" * 40 + " * @generated\n */\n" + MESSAGES),
+        ("a.js", LIBRARY.replace("VERSION: '1.2.3'", "").replace("  return lib;\n}));", "  lib.more = function (a) { if (a) { return lib; } return a; };\n" * 60 + "  lib.VERSION = '1.2.3';\n  return lib;\n}));")),
+        ("x/deps.json", '{\n  "name": "x",\n' + "".join(f'  "key{i}": {{\n    "v": "{i}"\n  }},\n' for i in range(300)) + '  "lockfileVersion": 3\n}'),
+    ],
+)
+def test_marks_count_wherever_they_stand(path, text):
+    assert written_by(text, path) is not None
+
+
 def test_winnowing_is_position_free():
     r = random.Random(2)
     body = " ".join(f"v{r.randrange(999)} = f{r.randrange(99)}({r.randrange(99)});" for _ in range(200))

@@ -48,6 +48,8 @@ _COMPILED = re.compile(
 )
 _COMPILED_HEAD = re.compile(r"\s*(?:/\*.*?\*/\s*)*(?:!function\(|/\*{6}/|[\"']use strict[\"'];?\s*Object\.defineProperty\(exports)", re.S)
 _UMD = re.compile(r"typeof define === ?'function' && define\.amd|typeof define===?\"function\"&&define\.amd|typeof exports === ?'object' && typeof module !== ?'undefined'")
+# All comments before the first line that says something.
+_AHEAD = re.compile(r"(?:\s*(?://[^\n]*|/\*.*?\*/))+", re.S)
 _CONTROL = {"if", "for", "while", "switch", "try", "throw", "await", "new", "class", "this", "return", "function", "case", "yield", "catch"}
 
 
@@ -98,10 +100,9 @@ def _logic(text: str) -> int:
 
 def _json_kind(text: str, path: str) -> str | None:
     """Lock files, source maps and records dumped by a program; None for a document that a hand may have written."""
-    head = text[:4000]
     if '"mappings"' in text and re.search(r'"version"\s*:\s*3', text) and '"sources"' in text or path.lower().endswith(".map"):
         return "source map"
-    if '"lockfileVersion"' in head or len(re.findall(r'"(?:integrity|resolved)"\s*:', text)) >= 3 or re.search(r"(?:^|/)(?:package-lock|npm-shrinkwrap|composer\.lock|yarn\.lock|pnpm-lock)", path, re.I):
+    if '"lockfileVersion"' in text or len(re.findall(r'"(?:integrity|resolved)"\s*:', text)) >= 3 or re.search(r"(?:^|/)(?:package-lock|npm-shrinkwrap|composer\.lock|yarn\.lock|pnpm-lock)", path, re.I):
         return "lock file"
     body = text.strip()
     lines = body.count("\n") + 1
@@ -172,8 +173,8 @@ def written_by(text: str | None, path: str | None, language: str | None = None,
     bare = live - size["string"] - size["regex"]
     words = [t for kind, t in toks if kind == "word"]
     lines = [x for x in text.split("\n") if x.strip()]
-    head = "\n".join(lines[:12])
-    comments_ahead = "\n".join(m[0] for m in re.finditer(r"\A(?:\s*(?://[^\n]*|/\*.*?\*/))+", head, re.S))
+    ahead = _AHEAD.match(text)
+    comments_ahead = ahead[0] if ahead else ""
     made = bool(_MADE.search(comments_ahead)) and not _NOT_MADE.search(comments_ahead)
     if _COMPILED.search(text) and (_COMPILED_HEAD.match(text) or len(_COMPILED.findall(text)) >= 3):
         return "compiled"
@@ -195,7 +196,7 @@ def written_by(text: str | None, path: str | None, language: str | None = None,
         return "generated"
     if made and (shapes <= 12 and n >= 2 * shapes or n < 12 and _logic(text) <= 2):
         return "generated"
-    if _UMD.search(text) and re.search(r"\bVERSION\b|\bversion\b|\bLICEN[CS]E\b|\(c\)|Copyright", text[:3000]):
+    if _UMD.search(text) and re.search(r"\bVERSION\b|\bversion\b|\bLICEN[CS]E\b|\(c\)|Copyright", text):
         return "library"
     return None
 
