@@ -101,6 +101,24 @@ def test_copies_need_many_repositories(spark):
     assert machine_made(files.limit(0), sources.limit(0)).isEmpty()
 
 
+def test_copies_in_other_languages(spark):
+    r = random.Random(4)
+
+    def css():
+        return "/* it's open */\n" + "".join(f".c{r.randrange(9999)} {{\n  background: url(http://x/*/{r.randrange(99)});\n  margin: {r.randrange(99)}px;\n}}\n" for _ in range(30))
+
+    def python():
+        return "# don't\n" + "".join(f"def f{r.randrange(9999)}(x):\n    return g{r.randrange(99)}(x, '{r.randrange(999)}')\n" for _ in range(30))
+
+    rows = []
+    for name, language, body in (("a.css", "other", css), ("a.py", None, python), ("a.ts", "other", python)):
+        shared = body()
+        rows += [(f"r{i}:{name}", f"r{i}", name, language, shared) for i in range(5)] + [(f"r{i}:own.{name}", f"r{i}", f"own.{name}", language, body()) for i in range(6)]
+    files = spark.createDataFrame([x[:4] for x in rows], FILES)
+    sources = spark.createDataFrame([(x[0], x[4]) for x in rows] + [("r0:null.css", None)], SOURCES)
+    assert {x["file_id"] for x in machine_made(files, sources).collect()} == {f"r{i}:{name}" for i in range(5) for name in ("a.css", "a.py", "a.ts")}
+
+
 @pytest.mark.parametrize(
     "doc,useful",
     [

@@ -34,6 +34,8 @@ _SCAN = re.compile(
     r"|(?P<sign>.)",
     re.S,
 )
+# Languages without rules of their own: a quote or slash there opens nothing that is sure to close.
+_PLAIN = re.compile(r"(?P<number>\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<space>\s+)|(?P<sign>.)", re.S)
 # How tools say, in the head of a file, that they wrote it.
 _MADE = re.compile(
     r"@generated\b|<auto-?generated|\bauto-?generated (?:by|from|file|code)\b|\bcode generated by\b|\bautomatically generated\b|\bthis (?:file|code|module) (?:is|was|has been) (?:auto|machine|generated)"
@@ -58,6 +60,11 @@ def scan(text: str) -> list[tuple[str, str]]:
     return [(m.lastgroup, m[0]) for m in _SCAN.finditer(text)]
 
 
+def scan_plain(text: str) -> list[tuple[str, str]]:
+    """(kind, text) of numbers, words, spaces and signs of a text in any language."""
+    return [(m.lastgroup, m[0]) for m in _PLAIN.finditer(text)]
+
+
 _BASE = 6364136223846793005
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -204,7 +211,7 @@ def written_by(text: str | None, path: str | None, language: str | None = None,
 def machine_made(files: DataFrame, sources: DataFrame, copied: float = COPIED, repositories: int = REPOSITORIES) -> DataFrame:
     """(file_id, reason): files that weren't written by hand in their repository.
 
-    Each text is judged by its own build and winnowed once, where it is read. A fingerprint recurs if it stands in at least
+    Each text of any language is judged by its own build and winnowed once, where it is read. A fingerprint recurs if it stands in at least
     ``repositories`` repositories; a file whose fingerprints do so to the share ``copied`` is a copy of third-party code, whatever
     its own build. Fingerprints are reduced to (hash, repository) before they are counted, so a text that a third of all files hold
     weighs one row a repository; nothing is collected by group. Null, empty and blank sources are no cases. Copies of rows count
@@ -216,8 +223,8 @@ def machine_made(files: DataFrame, sources: DataFrame, copied: float = COPIED, r
         for batch in batches:
             out = []
             for file, repo, path, language, text in zip(batch["file_id"], batch["repo_id"], batch["rel_path"], batch["language"], batch["source"]):
-                toks = scan(text) if language != "other" else None
-                prints = fingerprints(text, toks=toks) if toks else []
+                toks = scan(text) if language != "other" or CODE_SUFFIX.search(path or "") else None
+                prints = fingerprints(text, toks=scan_plain(text) if toks is None else toks)
                 out.append((file, repo, written_by(text, path, language, toks), prints if len(prints) >= LEAST_PRINTS else []))
             yield pd.DataFrame(out, columns=["file_id", "repo_id", "reason", "prints"])
 
