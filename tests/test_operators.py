@@ -199,6 +199,14 @@ def test_export_cycles_end(spark):
     assert {(r["name"], r["symbol_id"]) for r in resolve.resolve_exports(wanted, exports, symbols).collect()} == {("x", "b#x"), ("none", None)}
 
 
+def test_exports_through_long_chains(spark):
+    steps = [(f"f{i}", 0, "x", "x", "reExport", f"f{i + 1}") for i in range(52)] + [("f52", 0, "x", "x", "named", None)]
+    exports = spark.createDataFrame(steps, "file string, ord int, name string, local string, kind string, target string")
+    symbols = spark.createDataFrame([("f52", "x", "f52#x")], "file string, qualified string, id string")
+    wanted = spark.createDataFrame([("f0", "x")], "file string, name string")
+    assert [r["symbol_id"] for r in resolve.resolve_exports(wanted, exports, symbols).collect()] == ["f52#x"]
+
+
 def test_dependencies(spark):
     declared = spark.createDataFrame([("lodash",), ("left-pad",)], "name string")
     imports = spark.createDataFrame([("lodash",), ("fs",), ("node:fs",), ("fs",)], "name string")

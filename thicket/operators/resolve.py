@@ -47,19 +47,20 @@ def resolve_modules(imports: DataFrame, paths: DataFrame, aliases: list[tuple[st
     return i.join(best, ["repo_id", "path", "specifier"], "left")
 
 
-def resolve_exports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame, most_depth: int = 50) -> DataFrame:
+def resolve_exports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, name, symbol_id): the symbol that a file's exported name leads to, or null.
 
     ``wanted`` has (file, name), ``exports`` (file, ord, name, local, kind, target), kind one of named, default, reExport and star,
     ``symbols`` (file, qualified, id). An explicit export wins over stars and the first in order over later ones; a local one
-    without symbol gets the id ``file#local``. Names are followed one file a round; a file is visited once for a name.
+    without symbol gets the id ``file#local``. Names are followed one file a round, however long
+    the chain; a file is visited once for a name, so cycles end.
     """
     start = wanted.select("file", "name").distinct()
     front = start.select(F.col("file").alias("from"), F.col("name").alias("as"), "file", "name", F.lit("").alias("via"))
     seen = cut_lineage(front.select("from", "as", "file", "name").distinct())
     found = None
     local = symbols.select(F.col("file"), F.col("qualified").alias("local"), F.col("id").alias("symbol")).dropDuplicates(["file", "local"])
-    for _ in range(most_depth):
+    while True:
         explicit = front.join(exports.filter("kind <> 'star'"), ["file", "name"])
         first = Window.partitionBy("from", "as", "file", "name").orderBy("ord")
         explicit = explicit.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n")
