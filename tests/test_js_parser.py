@@ -29,9 +29,15 @@ VALID = {
         "x = y\n/re/g.exec(z)",
         "if (a) /re/.test(b)",
         "const { default: d } = await import('x'); await d()",
+        "a()\n\n// more to come...\n",
+        "a()\n// {",
+        "a()\n// TODO (unfinished\n",
+        "// only 'this",
+        "a() /* { */ // /*",
     ],
     "jsx": [
         "const A = () => (<><B.C a='1' b={2} {...c} d:e=\"f\" g>text {h} {/* i */} {...j}<K/></B.C></>);",
+        "const x = <p>{y}{<b/>}</p>, z = <p a={y} b={<b/>} c={/re/}/>, w = <A><B c={<D/>}/><B c={<D/>}/></A>;",
         "const x = a < b ? <p>don't {`${n} shown`}</p> : <q r={<s/>}>{t.map(u => <li key={u.id}>{u.v > 1 && <b>!</b>}</li>)}</q>;",
     ],
     "typescript": [

@@ -15,7 +15,8 @@ class SyntaxFault(Exception):
         self.offset = offset
 
 
-_SPACE = r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)*"
+# Possessive: space and comments once read are never given back, not even where no token follows.
+_SPACE = r"(?:[\s\ufeff]++|//[^\n\r\u2028\u2029]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)*+"
 _ESC = r"\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]{1,6}\}"
 _NAME = rf"(?:[^\W\d]|\$|{_ESC})(?:[\w$\u200c\u200d]|{_ESC})*"
 _TOKEN = re.compile(
@@ -160,7 +161,7 @@ def tokenize(text: str, ts: bool, jsx: bool, repairs: Repairs | None = None) ->
             if c == "{":
                 put("{", at)
                 stack.append(("{", len(kinds) - 1, False))
-                prev = "{"
+                prev, operand_closed = "{", False
                 at += 1
             elif c == "<" and repairs is not None and at in repairs.plain:
                 at += 1
@@ -199,7 +200,7 @@ def tokenize(text: str, ts: bool, jsx: bool, repairs: Repairs | None = None) ->
                 put(">J", at)
                 stack.pop()
                 at += 1
-                prev = ">J"
+                prev, operand_closed = ">J", True
             else:
                 fail(f"unexpected {c!r} in text of an element", at)
                 if c == "}" and any(x[0] in ("{", "${") for x in stack):
@@ -231,7 +232,7 @@ def tokenize(text: str, ts: bool, jsx: bool, repairs: Repairs | None = None) ->
             elif c == "{":
                 put("{", at)
                 stack.append(("{", len(kinds) - 1, False))
-                prev = "{"
+                prev, operand_closed = "{", False
                 at += 1
             elif c == "/":
                 gap = _GAP.match(text, at + 1).end()
@@ -242,7 +243,7 @@ def tokenize(text: str, ts: bool, jsx: bool, repairs: Repairs | None = None) ->
                 put("/>J", at)
                 stack.pop()
                 at = gap + 1
-                prev = "/>J"
+                prev, operand_closed = "/>J", True
             elif c == ">":
                 first = stack[-1][1]
                 name = ""
