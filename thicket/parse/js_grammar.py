@@ -56,7 +56,7 @@ Default: Function | Class | %ts 'abstract' Class | %ts Interface | Assign Semi
 ExportNames: '{' ( ExportName ( ',' ExportName )* ','? )? '}'
 ExportName: ( @Name | 'STR' ) ( 'as' ( @Name | 'STR' ) )? &ListEnd | %ts 'type' @Name ( 'as' @Name )?
 Decl: %ts TsDecl | Lexical | NamedFunction | NamedClass
-Lexical: 'const' !'enum' ConstBinding ( ',' ConstBinding )* Semi | ( 'var' | 'let' ) Binding ( ',' Binding )* Semi | 'using' %nl @Ident Init ( ',' @Ident Init )* Semi
+Lexical: 'const' !'enum' ConstBinding ( ',' ConstBinding )* Semi | ( 'var' | 'let' ) Binding ( ',' Binding )* Semi | ( 'await' %nl )? 'using' %nl @Ident Init ( ',' @Ident Init )* Semi
 ConstBinding: Pattern Ann? Init | %ts @Ident Ann
 Binding: BindingPattern Ann? Init | @Ident ( %ts '!' )? Ann? Init?
 BindingPattern: ArrayPattern | ObjectPattern
@@ -74,7 +74,7 @@ Block: '{' Stmt* '}'
 Sub: !@Sub Stmt
 If: 'if' '(' Expr ')' Sub ( 'else' Sub )?
 For: 'for' 'await'? '(' ( ForOf | ForIn | ( ForVar | Expr )? ';' Expr? ';' Expr? ) ')' Sub
-ForOf: ( ( 'var' | 'let' | 'const' ) Pattern Ann? | Call ) 'of' Assign
+ForOf: ( ( 'var' | 'let' | 'const' ) Pattern Ann? | 'await'? 'using' !'of' @Ident | Call ) 'of' Assign
 ForIn: ( ( 'var' | 'let' | 'const' ) Pattern Ann? | Call ) 'in' Expr
 ForVar: ( 'var' | 'let' | 'const' ) Pattern Ann? Init? ( ',' Pattern Ann? Init? )*
 While: 'while' '(' Expr ')' Sub
@@ -113,7 +113,7 @@ Suffix: '.' ( @Name | 'PRIV' ) | '[' Expr ']' | Args | 'TPL' | Template | %ts %n
 Args: '(' ( Arg ( ',' Arg )* ','? )? ')'
 Arg: '...'? Assign
 Template: 'TPLH' Expr ( 'TPLM' Expr )* 'TPLT'
-Primary: @Ident !'=>' | 'NUM' | 'STR' | 'TPL' | Template | 'REGEX' | 'this' | 'super' &( '.' | '(' | '[' ) | 'null' | 'true' | 'false' | '(' Expr ')' | List | Object
+Primary: @Ident !( '=>' | %nl 'function' ) | 'NUM' | 'STR' | 'TPL' | Template | 'REGEX' | 'this' | 'super' &( '.' | '(' | '[' ) | 'null' | 'true' | 'false' | '(' Expr ')' | List | Object
     | FunctionExpr | Class | New | 'import' ( '.' @Name | Args ) | 'PRIV' &'in' | Element_
 List: '[' Arg? ( ',' Arg? )* ']'
 Object: '{' ( Prop ( ',' Prop )* ','? )? '}'
@@ -127,7 +127,11 @@ Attribute: '{' '...' Assign '}' | 'JNAME' ( ':J' 'JNAME' )? ( '=J' ( 'JSTR' | '{
 Child: 'JTEXT' | '{' ( '...'? Expr )? '}' | Element_
 Returned: %ts ':' ReturnType
 ReturnType: 'asserts' %nl ( @Ident | 'this' ) ( 'is' Type )? | ( @Ident | 'this' ) %nl 'is' Type | Type
-Type!: %functype 'abstract'? 'new'? TypeParams? Params '=>' ReturnType | Union ( %nl 'extends' Type '?' Type ':' Type )?
+Type!: %functype 'abstract'? 'new'? TypeParams? Params '=>' ReturnType | Union ( %nl 'extends' Bound '?' Type ':' Type )?
+Bound: %functype 'abstract'? 'new'? TypeParams? Params '=>' ReturnType | '|'? BoundInter ( '|' BoundInter )*
+BoundInter: '&'? BoundPart ( '&' BoundPart )*
+BoundPart: 'infer' @Ident ( 'extends' Bound )? &BoundEnd | Postfixed
+BoundEnd: '?' | '|' | '&'
 Union: '|'? Inter ( '|' Inter )*
 Inter: '&'? Postfixed ( '&' Postfixed )*
 Postfixed: ( ( 'keyof' | 'unique' | 'readonly' ) &@TypeStart )* ( 'infer' @Ident ( 'extends' Union !'?' )? | TypeAtom ) ( %nl '[' Type? ']' )*
