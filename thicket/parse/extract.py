@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from thicket.errors import ParseError
 from thicket.operators.resolve import BUILTINS
 from thicket.parse.js_lexer import SyntaxFault, tokenize, tokenize_damaged
-from thicket.parse.js_parser import DIALECTS
+from thicket.parse.words import DIALECTS
 
 # Suffixes of each dialect (plain JavaScript is read with JSX), verbs of routes, and built-in hooks.
 BY_SUFFIX = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "jsx", "jsx": "jsx", "mjs": "jsx", "cjs": "jsx"}

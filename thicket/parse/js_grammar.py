@@ -3,12 +3,9 @@
 They accept all valid texts; where validity needs more than syntax of tokens (early errors), ``js_parser`` looks again.
 """
 
-# Words of the languages.
-RESERVED = """break case catch class const continue debugger default delete do else enum export extends false finally for function if import in
-    instanceof new null return super switch this throw true try typeof var void while with""".split()
-STRICT = "implements interface let package private protected public static yield await".split()
-CONTEXTUAL = """abstract accessor as assert asserts async constructor declare from get global infer is keyof module namespace of out override readonly
-    require satisfies set type unique using""".split()
+from thicket.parse.words import CONTEXTUAL, RESERVED, STRICT
+
+# Operators of the languages.
 ASSIGN = "= += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??=".split()
 BINARY = "+ - * / % ** == != === !== < <= >= << && || ?? & | ^ in instanceof".split()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from thicket.parse.js_grammar import CONTEXTUAL, RESERVED, STRICT
+from thicket.parse.words import CONTEXTUAL, RESERVED, STRICT
 
 
 class SyntaxFault(Exception):

@@ -8,8 +8,8 @@ import sys
 from thicket.parse.grammar import Compiled
 from thicket.parse.js_grammar import BINARY, JSON, MODULE, SETS
 from thicket.parse.js_lexer import SyntaxFault, tokenize, tokenize_json
+from thicket.parse.words import DIALECTS
 
-DIALECTS = {"javascript": (False, False), "jsx": (False, True), "typescript": (True, False), "tsx": (True, True)}
 #: Depth of nesting that a text may have.
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 60_000))
 
