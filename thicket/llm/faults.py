@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm.files import sources_of
-from thicket.parse.js_parser import DIALECTS, fault
+from thicket.llm.js_parser import fault
+from thicket.parse.words import DIALECTS
 
 
 def parse_flags(files: DataFrame, sources: DataFrame) -> DataFrame:
