@@ -1,6 +1,7 @@
 """Faults, provenance and documentation of source files."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,4 +166,15 @@ def test_pairs(spark):
     got = {r["symbol_id"]: r for r in documented_functions(symbols, chunks).collect()}
     assert set(got) == {"r:a#f", "r:a#g", "r:a#i"} and got["r:a#g"]["code"] == "g() { return 1; }" and got["r:a#i"]["code"] is None
     assert documented_functions(symbols.limit(0), chunks.limit(0)).isEmpty()
-    assert documented_functions(symbols, chunks, most_repeats=0).isEmpty()
+    again = symbols.union(symbols.filter("id = 'r:a#f'").withColumn("id", F.lit("r:b#f")))
+    assert {r[0] for r in documented_functions(again, chunks, most_share=0.4).select("symbol_id").collect()} == {"r:a#g", "r:a#i"}
+    assert {r[0] for r in documented_functions(again, chunks, most_share=0.5).select("symbol_id").collect()} == {"r:a#f", "r:b#f", "r:a#g", "r:a#i"}
+
+
+@pytest.mark.parametrize(
+    "text", ["x = foo(1);\n" * 45_000 + "/** Told. */\nfunction target() {}\n" + "x = foo(1);\n" * 45_000, "export " * 100_000, "target: " + "a " * 200_000, "// a\n" * 100_000, "@a.b " * 50_000]
+)
+def test_long_texts_take_time_in_proportion(text):
+    start = time.process_time()
+    leading_comments(text, "target", True)
+    assert time.process_time() - start < 12

@@ -40,7 +40,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return docpairs.documented_functions(table(spark, folder, "symbols"), table(spark, folder, "chunks"))
+    """The pairs for training: without descriptions that more than one in 200 documented functions have."""
+    return docpairs.documented_functions(table(spark, folder, "symbols"), table(spark, folder, "chunks"), most_share=0.005)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
