@@ -1,6 +1,7 @@
 """Splitting, tokens, mixing and subjects."""
 
 import random
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from thicket.llm.mixing import plan_mixture, rake, reached_shares
+from thicket.llm.mixing import plan_mixture, rake, reached_marginals, reached_shares
 from thicket.llm.splitting import split_oversized, split_text
 from thicket.llm.subjects import assign_subjects, subject_scores, subject_shares
 from thicket.llm.tokens import coder, encode_tree, token_ids
@@ -96,7 +97,14 @@ def test_mixture(spark):
     assert abs(got["big"]["actual_share"] - 0.7 / 0.95) < 0.01 and abs(got["small"]["actual_share"] - 0.25 / 0.95) < 0.01
     assert got["absent"]["tokens"] == 0 and got["big"]["most_repeats"] <= 2 and got["small"]["most_repeats"] <= 4
     assert mixed.filter("source = 'none' or tokens = 0").isEmpty() and mixed.count() == mixed.select("doc_id").distinct().count()
+    marginals = {(x["dimension"], x["value"]): x for x in reached_marginals(mixed, measured, targets).collect()}
+    assert abs(marginals["language", "de"]["actual_share"] - marginals["language", "de"]["target_share"]) < 0.02
+    assert abs(marginals["source", "small"]["actual_share"] - 0.25 / 0.95) < 0.01 and set(marginals) == {("source", "big"), ("source", "small"), ("language", "en"), ("language", "de"), ("topic", "none")}
     short = {x["source"]: x["actual_share"] for x in reached_shares(plan_mixture(measured, targets, 3_000_000), targets).collect()}
+    many = measured.withColumn("lang", F.concat("lang", (F.col("doc_id") % 50).cast("string")))
+    with mock.patch("thicket.llm.mixing.MOST_CELLS", 20):
+        coarse = {x["source"]: x["actual_share"] for x in reached_shares(plan_mixture(many, targets), targets).collect()}
+    assert abs(coarse["small"] - 0.25 / 0.95) < 0.01
     assert short["small"] < 0.25 / 0.95
     assert plan_mixture(measured.limit(0), targets).isEmpty() and plan_mixture(measured, targets.limit(0)).isEmpty()
 
@@ -126,6 +134,24 @@ def test_subject_table(spark):
     assert [r["documents"] for r in subject_shares(found, docs).collect()] == [2]
 
 
+def test_labels_move_thresholds_and_new_subjects_are_found(spark):
+    from thicket.llm.subjects import THRESHOLD, thresholds_of
+
+    scores = [(i, "law", 1.5) for i in range(9)] + [(20, "law", 3.0), (21, "sport", 1.5)]
+    limits = thresholds_of(scores, [(i, "law") for i in range(9)] + [(20, "law"), (22, "sport"), (21, "law")])
+    assert abs(limits["law"] - 1.5) < 1e-6 and limits["sport"] == THRESHOLD and thresholds_of(scores, []) == {}
+    docs = spark.createDataFrame([(1, "Chess is old. A grandmaster plays chess daily. The chess clock ticks."), (2, SPORT)], "doc_id long, text string")
+    listed = spark.createDataFrame([("Chess", "board games of two players"), ("sport", None), (None, "x")], "subject string, description string")
+    labels = spark.createDataFrame([(1, "CHESS"), (2, None), (None, "sport"), (2, " Sport")], "doc_id long, subject string")
+    assert {(r["doc_id"], r["subject"]) for r in assign_subjects(docs, labels, listed).collect()} == {(1, "chess"), (2, "sport")}
+
+
+def test_windows_bound_long_lists():
+    term = "- the parcel was on its way to the depot\n"
+    once, often = (subject_scores(term * n).get("transport", (0, 0))[0] for n in (8, 800))
+    assert often == once
+
+
 def test_subjects_agree_with_labels():
     """Held-out accuracy on the hand labels, some of which are wrong or missing."""
     import pandas as pd

@@ -60,19 +60,33 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
 
+def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mixture, measured documents, targets)."""
+    targets = table(spark, folder, "mix_targets")
+    measured = mixing.measure(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), table(spark, folder, "subjects"))
+    return mixing.plan_mixture(measured, targets), measured, targets
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mixture_of(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return _mixture(spark, folder)[0]
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.reached_shares(p7_mixture(spark, folder), table(spark, folder, "mix_targets"))
+    mixture, _, targets = _mixture(spark, folder)
+    return mixing.reached_shares(mixture, targets)
+
+
+def p7_marginals(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.reached_marginals(*_mixture(spark, folder))
 
 
 def p8_subjects(spark: SparkSession, folder: str) -> DataFrame:
     """Subjects spelt as in the table ``subjects``; a subject that it lacks isn't reported."""
-    listed = table(spark, folder, "subjects").select(F.col("subject").alias("spelt"), F.lower(F.trim("subject")).alias("subject")).distinct()
+    wanted = table(spark, folder, "subjects")
+    spelt = wanted.select(F.col("subject").alias("spelt"), F.lower(F.trim("subject")).alias("subject")).distinct()
+    found = subjects.assign_subjects(table(spark, folder, "documents"), table(spark, folder, "subject_labels"), wanted)
     # The table of subjects is fixed and small; a broadcast is left to the session's size threshold.
-    return subjects.assign_subjects(table(spark, folder, "documents")).join(listed, "subject").select("doc_id", F.col("spelt").alias("subject"), "score")
+    return found.join(spelt, "subject").select("doc_id", F.col("spelt").alias("subject"), "score")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,7 +98,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_subjects, p8_shares)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p7_marginals, p8_found, p8_subjects, p8_shares)
 }
 
 
