@@ -1,7 +1,10 @@
-"""Vector search: a hash embedder, cosine and exact top-k in blocks."""
+"""Vector search: a hash embedder, cosine, exact top-k, and an inverted file of cells."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,11 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thicket.functions.text import embed_tokens
-
 DIMENSIONS = 256
 #: Rows of a block of queries, and of data; a pair of blocks is one small matrix product.
 QUERY_BLOCK, DATA_BLOCK = 512, 8_192
+#: Bytes of queries that may be sent to all tasks.
+MOST_QUERY_BYTES = 32 << 20
+_TOKEN = re.compile(r"[a-z$_][a-z0-9$_]*")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -25,31 +29,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.when(norm == 0, zero).otherwise(dot / norm))
 
 
-def mock_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, idx, value): the sparse, normalised hash embedding; texts without tokens have no entries.
+#: Tokens whose hash a worker keeps; beyond it the table starts anew.
+MOST_HASHED = 1 << 18
+
 
-    A token goes to the dimension of its SHA-1's first two bytes modulo 256, with the sign of the third byte's parity.
+def mock_vectors(rows: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, keep_empty: bool = False) -> DataFrame:
+    """(key, vector array<double>): the normalised hash embedding of each row's text, made inside the row.
+
+    A token goes to the dimension of its SHA-1's first two bytes modulo ``dimensions``, with the sign of the third byte's parity. Texts
+    without tokens, and those whose tokens cancel out, give no row, or with ``keep_empty`` a vector of zeros.
     """
-    token = (
-        rows.select(F.col(key), F.explode(embed_tokens(F.col(text))).alias("t"))
-        .groupBy(key, "t")
-        .agg(F.count("*").alias("n"))
-        .withColumn("h", F.sha1("t"))
-        .withColumn("idx", (F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % DIMENSIONS))
-        .withColumn("sign", F.when(F.conv(F.substring("h", 5, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1))
-    )
-    cells = token.groupBy(key, "idx").agg(F.sum(F.col("n") * F.col("sign")).cast("double").alias("v")).filter("v <> 0")
-    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return cells.join(norms, key).select(key, "idx", (F.col("v") / F.col("norm")).alias("value"))
+    kind = dict(rows.dtypes)[key]
 
+    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            keys, out = [], []
+            for k, low in zip(batch["key"], batch["low"]):
+                counts = Counter(_TOKEN.findall(low)) if low else {}
+                v = np.zeros(dimensions)
+                for t, n in counts.items():
+                    cell = cells.get(t)
+                    if cell is None:
+                        if len(cells) >= MOST_HASHED:
+                            cells.clear()
+                        h = hashlib.sha1(t.encode()).digest()
+                        cell = cells[t] = (int.from_bytes(h[:2], "big") % dimensions, 1 if h[2] % 2 == 0 else -1)
+                    v[cell[0]] += n * cell[1]
+                norm = np.sqrt(v @ v)
+                if norm > 0:
+                    v /= norm
+                if norm > 0 or keep_empty:
+                    keys.append(k)
+                    out.append(v)
+            yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "vector": out})
 
-def dense(sparse: DataFrame, key: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, vector array<double>) of ``mock_embedding``'s rows; one small row for each key."""
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-    cells = F.map_from_entries(F.collect_list(F.struct("idx", "value")))
-    return sparse.groupBy(key).agg(cells.alias("m")).select(
-        key, F.transform(zeros, lambda z, i: F.coalesce(F.try_element_at("m", i), z)).alias("vector")
-    )
+    made = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low")).mapInPandas(embed, f"key {kind}, vector array<double>")
+    return made.withColumnRenamed("key", key)
+
+
+def mock_embedding(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, idx, value): ``mock_vectors`` without zeros."""
+    return mock_vectors(rows, key, text).select(key, F.posexplode("vector").alias("idx", "value")).filter("value <> 0")
 
 
 def embed_with(rows: DataFrame, key: str, text: str, embedder: Callable[[list[str]], list[list[float]]], most_chars: int = 4_000) -> DataFrame:
@@ -64,53 +85,168 @@ def embed_with(rows: DataFrame, key: str, text: str, embedder: Callable[[list[st
     return rows.select(key, text).mapInPandas(embed, f"{key} {kind}, vector array<float>")
 
 
+def _matrix(rows: list) -> np.ndarray:
+    m = np.array(rows, dtype=np.float64)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    np.divide(m, norm, out=m, where=norm > 0)
+    return m
+
+
+def _best(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, scores) of the ``k`` best rows for each query; ties go to the lesser id."""
+    order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+    scores = np.round(queries @ data[order].T, 9)
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return order[best], np.take_along_axis(scores, best, axis=1)
+
+
 def top_k(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 20, query_key: str = "query") -> DataFrame:
     """(query, key, score, rank): the ``k`` nearest rows by cosine to each row of ``queries(query, vector)``, exactly.
 
-    Queries and data are packed into blocks of bounded size, by hash of their keys; every pair of blocks is one matrix product in
-    a task of its own that keeps ``k`` rows for each query. So neither side is ever gathered or broadcast as a whole, and no pair
-    of rows is materialised. Null vectors are left out, zero vectors score 0, ties go to the lesser key. Rows of a dimension other
-    than the query's are not compared.
+    Queries that fit ``MOST_QUERY_BYTES``, which is counted first, travel to the data, which never moves: each partition keeps its ``k``
+    best rows for each query, and only these are shuffled. More queries are packed into blocks as the data is, and every pair
+    of blocks is one matrix product in a task of its own. No pair of rows is materialised. Null vectors are left out, zero
+    vectors score 0, ties go to the lesser key. Rows of a dimension other than the query's are not compared.
     """
     kind, query_kind = dict(data.dtypes)[key], dict(queries.dtypes)[query_key]
+    schema = f"{query_key} {query_kind}, {key} {kind}, score double"
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(query_key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    n, numbers = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    if n * 64 + numbers * 8 > MOST_QUERY_BYTES:
+        found = _block_pairs(data, queries, key, vector, k, query_key, schema)
+    else:
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        held: dict[int, list] = {}
+        for r in asked.collect():
+            held.setdefault(len(r["v"]), []).append(r)
+        for size, rows in held.items():
+            by_size[size] = ([r["id"] for r in rows], _matrix([r["v"] for r in rows]))
+        shared = data.sparkSession.sparkContext.broadcast(by_size)
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for batch in batches:
+                sizes = batch["v"].map(len)
+                for size, rows in batch.groupby(sizes):
+                    if size not in shared.value:
+                        continue
+                    names, m = shared.value[size]
+                    ids = rows["id"].to_numpy(dtype=object)
+                    places, scores = _best(m, ids, _matrix(list(rows["v"])), k)
+                    pair = (ids[places], scores)
+                    if size in kept:
+                        # The best of what is kept and of the new rows: by score, then by id.
+                        before = kept[size]
+                        both_ids = np.concatenate([before[0], pair[0]], axis=1)
+                        both = np.concatenate([before[1], pair[1]], axis=1)
+                        rows_of = [sorted(range(both.shape[1]), key=lambda j, i=i: (-both[i, j], both_ids[i, j]))[:k] for i in range(len(names))]
+                        pick = np.array(rows_of)
+                        pair = (np.take_along_axis(both_ids, pick, axis=1), np.take_along_axis(both, pick, axis=1))
+                    kept[size] = pair
+            for size, (ids, scores) in kept.items():
+                names = shared.value[size][0]
+                yield pd.DataFrame({query_key: [q for q in names for _ in range(ids.shape[1])], key: ids.ravel(), "score": scores.ravel()})
+
+        rows = data.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        found = rows.mapInPandas(nearest, schema)
+    order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _block_pairs(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int, query_key: str, schema: str) -> DataFrame:
+    """The best rows of each pair of a block of queries and a block of data."""
 
     def packed(df: DataFrame, name: str, size: int, out: str) -> DataFrame:
-        rows = df.filter(F.col(vector).isNotNull()).select(F.col(name).alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        rows = df.filter(F.col(vector).isNotNull()).select(F.col(name).alias("id"), F.col(vector).cast("array<double>").alias("v"))
         n = max(1, -(-rows.count() // size))
         return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{out}_block")).agg(F.collect_list(F.struct("id", "v")).alias(out))
 
-    left = packed(queries, query_key, QUERY_BLOCK, "q")
-    right = packed(data, key, DATA_BLOCK, "d")
-    pairs = right.crossJoin(left).select("q", "d")
+    # Every query against all rows, in blocks.
+    pairs = packed(data, key, DATA_BLOCK, "d").crossJoin(packed(queries, query_key, QUERY_BLOCK, "q")).select("q", "d")
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q_rows, d_rows in zip(batch["q"], batch["d"]):
-                out: list[pd.DataFrame] = []
                 by_size: dict[int, tuple[list, list]] = {}
                 for side, rows in enumerate((q_rows, d_rows)):
                     for row in rows:
                         by_size.setdefault(len(row["v"]), ([], []))[side].append(row)
                 for qs, ds in by_size.values():
-                    if not qs or not ds:
-                        continue
-                    a = np.array([r["v"] for r in qs], dtype=np.float64)
-                    b = np.array([r["v"] for r in ds], dtype=np.float64)
-                    for m in (a, b):
-                        norm = np.linalg.norm(m, axis=1, keepdims=True)
-                        np.divide(m, norm, out=m, where=norm > 0)
-                    ids = np.array([r["id"] for r in ds], dtype=object)
-                    order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
-                    ids, b = ids[order], b[order]
-                    scores = np.round(a @ b.T, 9)
-                    most = min(k, len(ids))
-                    best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                    for i, r in enumerate(qs):
-                        out.append(pd.DataFrame({query_key: [r["id"]] * most, key: ids[best[i]], "score": scores[i, best[i]]}))
-                if out:
-                    yield pd.concat(out)
-
-    found = pairs.mapInPandas(nearest, f"{query_key} {query_kind}, {key} {kind}, score double")
+                    if qs and ds:
+                        ids = np.array([r["id"] for r in ds], dtype=object)
+                        places, scores = _best(_matrix([r["v"] for r in qs]), ids, _matrix([r["v"] for r in ds]), k)
+                        yield pd.DataFrame({query_key: [r["id"] for r in qs for _ in range(places.shape[1])], key: ids[places].ravel(), "score": scores.ravel()})
+
+    return pairs.mapInPandas(nearest, schema)
+
+
+#: Cells of an inverted file: about the square root of the rows, at most so many; rows of the sample that they are fitted on, and rounds.
+MOST_CELLS, SAMPLE, FIT_ROUNDS = 4_096, 20_000, 10
+
+
+def fit_cells(data: DataFrame, key: str, vector: str, cells: int | None = None, sample: int = SAMPLE, seed: int = 42) -> np.ndarray:
+    """Centroids of a coarse partition of the vectors, fitted by k-means on at most ``sample`` rows, those of the least hashes."""
+    rows = data.filter(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.xxhash64(key).alias("h"), F.col(vector).cast("array<double>").alias("v"))
+    n = rows.count()
+    points = [r["v"] for r in rows.orderBy("h").limit(sample).collect()]
+    if not points:
+        return np.zeros((0, 0))
+    width = Counter(map(len, points)).most_common(1)[0][0]
+    m = _matrix([p for p in points if len(p) == width])
+    count = min(cells or max(1, int(np.sqrt(n))), MOST_CELLS, len(m))
+    centres = m[np.random.default_rng(seed).choice(len(m), count, replace=False)]
+    for _ in range(FIT_ROUNDS):
+        near = (m @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, m)
+        filled = np.bincount(near, minlength=count) > 0
+        centres = np.where(filled[:, None], sums, centres)
+        centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+    return centres
+
+
+def in_cells(data: DataFrame, key: str, vector: str, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """(key, vector, cell): each row in its nearest cells, one of them or ``probes``; every row with a vector of the fitted width is covered."""
+    kind = dict(data.dtypes)[key]
+    shared = data.sparkSession.sparkContext.broadcast(centres)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        for batch in batches:
+            batch = batch[batch["vector"].map(len) == c.shape[1]]
+            if len(batch):
+                near = np.argsort(-(_matrix(list(batch["vector"])) @ c.T), axis=1, kind="stable")[:, :probes]
+                yield batch.loc[batch.index.repeat(near.shape[1])].assign(cell=near.ravel().astype(np.int32))
+
+    rows = data.filter(F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    return rows.mapInPandas(placed, f"key {kind}, vector array<double>, cell int").withColumnRenamed("key", key)
+
+
+def top_k_in_cells(celled: DataFrame, queries: DataFrame, centres: np.ndarray, key: str, vector: str, k: int = 20, probes: int = 16, query_key: str = "query") -> DataFrame:
+    """(query, key, score, rank): as ``top_k`` but each query is compared with the rows of its ``probes`` nearest cells only.
+
+    Rows and queries meet by (cell, slice): a cell is cut into slices of bounded size by the hash of its rows, so a crowded one is no single task.
+    """
+    kind, query_kind = dict(celled.dtypes)[key], dict(queries.dtypes)[query_key]
+    slices = celled.groupBy("cell").agg(F.ceil(F.count("*") / DATA_BLOCK).cast("int").alias("slices"))
+    # At most MOST_CELLS rows.
+    slices = F.broadcast(slices)
+    data = celled.join(slices, "cell").select("cell", F.pmod(F.xxhash64(key), F.col("slices")).cast("int").alias("slice"), F.struct(F.col(key).alias("id"), F.col("vector").alias("v")).alias("r"))
+    asked = in_cells(queries, query_key, vector, centres, probes).join(slices, "cell").select(
+        "cell", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.struct(F.col(query_key).alias("id"), F.col("vector").alias("v")).alias("r")
+    )
+    packed_data = data.groupBy("cell", "slice").agg(F.collect_list("r").alias("d"))
+    block = F.pmod(F.xxhash64("r.id"), F.lit(max(1, -(-asked.count() // QUERY_BLOCK)))).alias("block")
+    packed_asked = asked.groupBy("cell", "slice", block).agg(F.collect_list("r").alias("q"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for qs, ds in zip(batch["q"], batch["d"]):
+                ids = np.array([r["id"] for r in ds], dtype=object)
+                places, scores = _best(_matrix([r["v"] for r in qs]), ids, _matrix([r["v"] for r in ds]), k)
+                yield pd.DataFrame({query_key: [r["id"] for r in qs for _ in range(places.shape[1])], key: ids[places].ravel(), "score": scores.ravel()})
+
+    found = packed_data.join(packed_asked, ["cell", "slice"]).select("q", "d").mapInPandas(nearest, f"{query_key} {query_kind}, {key} {kind}, score double")
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

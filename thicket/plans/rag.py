@@ -85,8 +85,8 @@ def keyword_hits(index: Index, text: str, k: int = 20, kinds: list[str] | None =
 def semantic_hits(index: Index, text: str, k: int = 20) -> DataFrame:
     spark = index.chunks.sparkSession
     asked = spark.createDataFrame([("q", text)], "id string, text string")
-    vector = vectors.dense(vectors.mock_embedding(asked, "id", "text"), "id").withColumnRenamed("id", "query")
-    stored = index.vectors if index.vectors is not None else vectors.dense(vectors.mock_embedding(index.chunks, "id", "content"), "id")
+    vector = vectors.mock_vectors(asked, "id", "text").withColumnRenamed("id", "query")
+    stored = index.vectors if index.vectors is not None else vectors.mock_vectors(index.chunks, "id", "content")
     hits = vectors.top_k(stored, vector, "id", "vector", k)
     return hits.withColumn("symbol_id", F.regexp_replace("id", r"~\d+$", "")).select("symbol_id", "score", "rank")
 

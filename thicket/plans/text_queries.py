@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from thicket.functions import ids, text
 from thicket.functions.text import MARKED, PLAIN
 from thicket.operators import bm25, fusion, vectors
-from thicket.session import cut_lineage, spread
+from thicket.session import spread
+from thicket.sources.stores import KeywordStore, VectorStore, snapshot_folder
 from thicket.sources.tables import table
 
 QUERIES: dict = {}
@@ -33,7 +34,31 @@ def chunk_index(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with the columns of the full-text index, each id once."""
     c = table(spark, folder, "chunks").groupBy("id", "symbol_id").agg(F.max("content").alias("content"))
     s = table(spark, folder, "symbols").groupBy(F.col("id").alias("symbol_id")).agg(F.max("name").alias("name"), F.max("kind").alias("kind"))
-    return bm25.with_tokens_column(c.join(s, "symbol_id").withColumn("path", ids.path_of(F.col("id"))))
+    return bm25.with_tokens_column(c.join(s, "symbol_id", "left").withColumn("path", ids.path_of(F.col("id"))))
+
+
+def chunk_store(spark: SparkSession, folder: str) -> KeywordStore:
+    """The stored full-text index of the chunks: written at the first use and again when the tables' files change."""
+    place = snapshot_folder(spark, [f"{folder}/chunks.parquet", f"{folder}/symbols.parquet"], "chunk-postings")
+    store = KeywordStore(spark, place, "id", bm25.CHUNK_WEIGHTS, ["kind", "path"])
+    if not store.exists():
+        store.upsert(chunk_index(spark, folder))
+    return store
+
+
+def document_store(spark: SparkSession, folder: str) -> KeywordStore:
+    store = KeywordStore(spark, snapshot_folder(spark, [f"{folder}/documents.parquet"], "document-postings"), "doc_id", {"text": 1.0})
+    if not store.exists():
+        store.upsert(documents(spark, folder))
+    return store
+
+
+def document_vectors(spark: SparkSession, folder: str) -> VectorStore:
+    """Hash embeddings of the documents in double precision, as the twins compute them."""
+    store = VectorStore(spark, snapshot_folder(spark, [f"{folder}/documents.parquet"], "document-vectors"), "doc_id", "hash", vectors.DIMENSIONS)
+    if not store.exists():
+        store.upsert(vectors.mock_vectors(documents(spark, folder), "doc_id", "text"))
+    return store
 
 
 _FOLD = f"translate(lower({{0}}), '{MARKED}', '{PLAIN}')"
@@ -70,10 +95,9 @@ kw AS (SELECT * FROM (SELECT query, doc_id, s AS score, row_number() OVER (PARTI
 
 def keyword_lists(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
     """The stated query set, documents whose id is divisible by 100, against all documents."""
-    d = documents(spark, folder)
-    weights = {"text": 1.0}
-    asked = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(bm25.query_terms(F.col("text"))).alias("term"))
-    return bm25.search_all(bm25.postings(d, "doc_id", weights), bm25.corpus_stats(d, weights), asked, "doc_id", k)
+    store = document_store(spark, folder)
+    asked = documents(spark, folder).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.explode(bm25.query_terms(F.col("text"))).alias("term"))
+    return bm25.search_all(store.postings(), store.stats(), asked, "doc_id", k, stored=True)
 
 
 @query(f"WITH {_BM25} SELECT query, doc_id, round(score, 5) AS score, rank FROM kw")
@@ -82,7 +106,7 @@ def bm25_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CHUNKS = f"""c AS (SELECT c.id, c.content, s.name, s.kind, split_part(regexp_replace(c.id, '^[^:]*:', ''), '#', 1) AS path FROM (SELECT id, symbol_id, max(content) AS content FROM chunks GROUP BY 1, 2) c
-JOIN (SELECT id AS symbol_id, max(name) AS name, max(kind) AS kind FROM symbols GROUP BY 1) s USING (symbol_id)),
+LEFT JOIN (SELECT id AS symbol_id, max(name) AS name, max(kind) AS kind FROM symbols GROUP BY 1) s USING (symbol_id)),
 tok AS (SELECT id, string_agg(token, ' ') AS tokens FROM {_split_rows("(SELECT id, concat_ws(' ', coalesce(name, ''), coalesce(content, '')) AS t FROM c)", 'id', 't')} GROUP BY 1),
 x AS (SELECT c.*, coalesce(tokens, '') AS tokens FROM c LEFT JOIN tok USING (id)),
 e AS (SELECT id, unnest({_tokens("coalesce(content, '')")}) AS term, 1.0 AS w FROM x UNION ALL SELECT id, unnest({_tokens("coalesce(name, '')")}), 6.0 FROM x UNION ALL SELECT id, unnest({_tokens('path')}), 2.0 FROM x
@@ -97,21 +121,14 @@ FROM p JOIN df USING (term) JOIN size USING (id), st WHERE term IN ('mergerecipe
 SELECT id, round(score, 5) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM h JOIN x USING (id) WHERE {where} QUALIFY rank <= 20"""
 
 
-def _search_chunks(spark: SparkSession, folder: str, keep) -> DataFrame:
-    rows = chunk_index(spark, folder)
-    weights = bm25.CHUNK_WEIGHTS
-    kept = rows.filter(keep).select("id")
-    # Filters come after the statistics, which are those of the whole index.
-    index = bm25.postings(rows, "id", weights)
-    terms = "mergeRecipe rows placeholder"
-    found = bm25.search(index, bm25.corpus_stats(rows, weights), terms, "id", 1 << 30).drop("rank")
-    best = found.join(kept, "id", "left_semi").orderBy(F.desc(F.round("score", 9)), "id").limit(20)
-    return fusion._global_rank(best, [F.desc(F.round("score", 9)), F.col("id")]).select("id", F.round("score", 5).alias("score"), "rank")
+def _search_chunks(spark: SparkSession, folder: str, keep=None) -> DataFrame:
+    store = chunk_store(spark, folder)
+    return store.search("mergeRecipe rows placeholder", 20, keep).select("id", F.round("score", 5).alias("score"), "rank")
 
 
 @query(_chunk_search("true"))
 def bm25_search(spark: SparkSession, folder: str) -> DataFrame:
-    return _search_chunks(spark, folder, F.lit(True))
+    return _search_chunks(spark, folder)
 
 
 @query(_chunk_search("lower(kind) IN ('function', 'hook') AND lower(path) LIKE 'packages/%'"))
@@ -160,9 +177,7 @@ FROM (SELECT DISTINCT doc_id FROM emb WHERE doc_id % 100 = 0) q CROSS JOIN (SELE
 
 
 def semantic_lists(spark: SparkSession, folder: str, k: int = 20) -> DataFrame:
-    d = documents(spark, folder)
-    # Read by both sides and twice each: one small row a document is written instead of embedding anew.
-    dense = cut_lineage(vectors.dense(vectors.mock_embedding(d, "doc_id", "text"), "doc_id"))
+    dense = document_vectors(spark, folder).vectors()
     return vectors.top_k(dense, dense.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query"), "doc_id", "vector", k)
 
 
@@ -202,7 +217,7 @@ SELECT ex.query, round(least(1.0, coalesce(good, 0) / least(n, 5)), 6) AS recall
 )
 def recall_at_k(spark: SparkSession, folder: str) -> DataFrame:
     """Golden set: the documents with the very text of the query."""
-    d = documents(spark, folder).filter("text <> ''").select("doc_id", "text")
+    d = documents(spark, folder).filter("text <> ''").select("doc_id", F.sha2("text", 256).alias("text"))
     relevant = d.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), "text").join(d, "text").select("query", "doc_id")
     return fusion.recall_precision(hybrid_lists(spark, folder), relevant, "query", "doc_id", 5).select("query", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Session settings for a stand-alone run; a cluster's own settings win where it sets them.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,6 +18,8 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+#: A scan above this size is never shuffled just to use more cores; parts then come from spark.sql.files.maxPartitionBytes.
+MOST_SPREAD = 4 << 30
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -27,13 +30,19 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; only where it is unset and the session is local (tests) a folder of our own."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "thicket-checkpoints")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only where it is unset (tests) a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "thicket-checkpoints"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -52,7 +61,12 @@ def spread_partitions(spark: SparkSession) -> int:
     return max(wide_partitions(spark), spark.sparkContext.defaultParallelism)
 
 
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes; for a plain scan that of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """A plain scan with at least as many partitions as there are cores: shuffled only where the files have too few parts."""
+    """A plain scan with at least as many partitions as there are cores: shuffled only where its files have too few parts and are small."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if size_of(scan) > MOST_SPREAD or scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
