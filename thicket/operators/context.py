@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from math import ceil
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET = 12_000
@@ -75,8 +75,17 @@ def context_blocks(ranked: DataFrame, budget: int = BUDGET, most: int = 8) -> Da
     return top.mapInPandas(fold, f"query {kind}, mark string, symbol_id string, path string, start_line int, end_line int, text string, tokens int, truncated boolean")
 
 
+#: A text of more lines than this is over any budget: no line takes less than ten characters, four to a token.
+MOST_LINES = BUDGET * 4 // 10 + 1
+
+
 def hierarchy_text(found: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-    """(seed, text) of callers or callees, by depth and name: one line each with path and signature; ``nodes`` has (id, name, path, signature)."""
-    rows = found.join(nodes, "id").groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("depth", "name", "id", "path", "signature"))).alias("x"))
+    """(seed, text) of callers or callees, by depth and name: one line each with path and signature; ``nodes`` has (id, name, path, signature).
+
+    Of a hub's callers only so many are gathered that the text is over the budget, where assembly leaves it out.
+    """
+    order = Window.partitionBy("seed").orderBy("depth", "name", "id")
+    first = found.join(nodes, "id").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MOST_LINES)
+    rows = first.groupBy("seed").agg(F.array_sort(F.collect_list(F.struct("_n", "name", "path", "signature"))).alias("x"))
     line = F.transform("x", lambda r: F.concat(F.lit("- "), r["name"], F.lit(" ("), F.coalesce(r["path"], F.lit("?")), F.lit("): "), F.coalesce(r["signature"], r["name"])))
     return rows.select("seed", F.concat(F.lit(f"{label}:\n"), F.array_join(line, "\n")).alias("text"))

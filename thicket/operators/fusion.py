@@ -50,8 +50,12 @@ def _global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
 def rerank_by_overlap(candidates: DataFrame, query: str, content: str, prior: str = "rank", by: list[str] | None = None) -> DataFrame:
     """``candidates`` with (overlap, reranked): how many distinct tokens query and content share; ties keep the prior order."""
     shared = F.size(F.array_intersect(embed_tokens(F.coalesce(F.col(query), F.lit(""))), embed_tokens(F.coalesce(F.col(content), F.lit("")))))
-    window = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(F.desc("overlap"), prior)
-    return candidates.withColumn("overlap", shared).withColumn("reranked", F.row_number().over(window))
+    scored = candidates.withColumn("overlap", shared)
+    if not by:
+        from thicket.operators.ranking import global_rank
+
+        return global_rank(scored, [F.desc("overlap"), F.col(prior)], "reranked")
+    return scored.withColumn("reranked", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("overlap"), prior)))
 
 
 def recall_precision(hits: DataFrame, relevant: DataFrame, by: str, key: str, k: int = 5) -> DataFrame:

@@ -99,24 +99,40 @@ def undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("to").alias("at"), F.col("at").alias("to"))).distinct()
 
 
+class _Seen:
+    """A growing set of rows as few written pieces: each round writes only what is new, and pieces of like size are merged.
+
+    So a row is rewritten about log2(rounds) times, not once a round, and an anti-join reads a handful of pieces.
+    """
+
+    def __init__(self, first: DataFrame):
+        self.pieces: list[tuple[int, DataFrame]] = [(1, first)]
+
+    def add(self, new: DataFrame) -> None:
+        self.pieces.append((1, new))
+        while len(self.pieces) > 4 and self.pieces[-2][0] <= self.pieces[-1][0]:
+            (m, older), (n, newer) = self.pieces[-2:]
+            self.pieces[-2:] = [(m + n, cut_lineage(older.unionByName(newer)))]
+
+    def all(self) -> DataFrame:
+        out = self.pieces[0][1]
+        for _, piece in self.pieces[1:]:
+            out = out.unionByName(piece)
+        return out
+
+
 def distances(steps: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(seed, id, distance): breadth-first distances of up to ``most`` hops over ``steps(at, to)`` from each seed."""
-    front = seeds.select(F.col("id").alias("seed"), "id").filter("id is not null").distinct()
-    found = cut_lineage(front.withColumn("distance", F.lit(0)))
-    front = found
+    start = seeds.select(F.col("id").alias("seed"), "id").filter("id is not null").distinct()
+    front = cut_lineage(start.withColumn("distance", F.lit(0)))
+    seen = _Seen(front)
     for d in range(1, most + 1):
-        reached = (
-            front.select("seed", F.col("id").alias("at"))
-            .join(steps, "at")
-            .select("seed", F.col("to").alias("id"))
-            .distinct()
-            .join(found.select("seed", "id"), ["seed", "id"], "left_anti")
-        )
-        front = cut_lineage(reached.withColumn("distance", F.lit(d)))
+        reached = front.select("seed", F.col("id").alias("at")).join(steps, "at").select("seed", F.col("to").alias("id")).distinct()
+        front = cut_lineage(reached.join(seen.all().select("seed", "id"), ["seed", "id"], "left_anti").withColumn("distance", F.lit(d)))
         if front.isEmpty():
             break
-        found = cut_lineage(found.unionByName(front))
-    return found
+        seen.add(front)
+    return seen.all()
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None, depth: int = 2) -> DataFrame:
@@ -134,40 +150,68 @@ def subgraph(edges: DataFrame, seeds: DataFrame, types: list[str] | None = None,
 def shortest_path(edges: DataFrame, source, target, most: int = MOST_HOPS) -> DataFrame:
     """(step, id, edge) of a shortest undirected path over all edge types, each node with the edge that leads to it; no rows where ``most`` hops don't do.
 
-    Among equally short ones it takes at each node the least parent, and the least type of edge to it. The distances are found in
-    a distributed way; the driver then walks back along at most ``most`` nodes, one lookup each.
+    Among equally short ones it takes at each node the least parent, and the least type of edge to it. The search goes on from the end
+    with the smaller frontier and stops where both meet; each node is written once with its parent, so that the path itself is
+    at most ``most`` lookups of one row.
     """
     spark = edges.sparkSession
     kind = dict(edges.dtypes)["src"]
-    one = spark.createDataFrame([(source,)], f"id {kind}")
-    steps = undirected(edges)
-    found = distances(steps, one, most)
-    end = found.filter(F.col("id") == F.lit(target)).select("distance").first()
-    rows: list[tuple] = []
-    if end:
-        at, typed = target, edges.select("src", "dst", "type")
-        for d in range(end["distance"], 0, -1):
-            before = found.filter(F.col("distance") == d - 1).select("id")
-            here = typed.filter((F.col("src") == F.lit(at)) | (F.col("dst") == F.lit(at))).select(
-                F.when(F.col("src") == F.lit(at), F.col("dst")).otherwise(F.col("src")).alias("id"), "type"
-            )
-            best = here.join(before, "id").orderBy("id", "type").first()
-            rows.append((d, at, best["type"]))
-            at = best["id"]
-        rows.append((0, source, None))
-    return spark.createDataFrame(rows[::-1], f"step int, id {kind}, edge string")
+    schema = f"step int, id {kind}, edge string"
+    if source == target:
+        return spark.createDataFrame([(0, source, None)], schema)
+    e = edges.select("src", "dst", "type").filter("src is not null and dst is not null")
+    steps = e.toDF("at", "id", "type").unionByName(e.select(F.col("dst").alias("at"), F.col("src").alias("id"), "type"))
+
+    def least(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.min(F.struct(F.col("at").alias("parent"), "type")).alias("by"))
+
+    levels = {side: [spark.createDataFrame([(x,)], f"id {kind}")] for side, x in (("source", source), ("target", target))}
+    sizes = {"source": 1, "target": 1}
+    for _ in range(most):
+        side = min(sizes, key=lambda x: (sizes[x], x))
+        other = "target" if side == "source" else "source"
+        own = levels[side]
+        known = own[-1].select("id")
+        for level in own[-2:-1]:
+            # In an undirected graph a neighbour is at most one level back.
+            known = known.unionByName(level.select("id"))
+        grown = least(own[-1].select(F.col("id").alias("at")).join(steps, "at")).join(known, "id", "left_anti")
+        own.append(cut_lineage(grown))
+        sizes[side] = own[-1].count()
+        if not sizes[side]:
+            return spark.createDataFrame([], schema)
+        met = own[-1].select("id").join(levels[other][-1].select("id"), "id", "left_semi")
+        if not met.isEmpty():
+            break
+    else:
+        return spark.createDataFrame([], schema)
+    # From where they met on to the target: the nodes of shortest paths only, with the least of their parents among these.
+    toward = [levels["source"][-1].select("id").join(levels["target"][-1].select("id"), "id", "left_semi")]
+    for level in levels["target"][-2::-1]:
+        ahead = toward[-1].select(F.col("id").alias("at")).join(steps, "at").join(level.select("id"), "id", "left_semi")
+        toward.append(cut_lineage(least(ahead)))
+    path, at = [], target
+    for level in (*toward[:0:-1], *levels["source"][:0:-1]):
+        by = level.filter(F.col("id") == F.lit(at)).first()["by"]
+        path.append((at, by["type"]))
+        at = by["parent"]
+    path.append((source, None))
+    return spark.createDataFrame([(n, x, t) for n, (x, t) in enumerate(reversed(path))], schema)
 
 
 def reachable(edges: DataFrame, roots: DataFrame, types: list[str] | None = None, most_rounds: int = 10_000) -> DataFrame:
-    """(id): all nodes that the roots reach over the edges, themselves included, however far and through whatever cycles."""
+    """(id): all nodes that the roots reach over the edges, themselves included, however far and through whatever cycles.
+
+    Each round writes its frontier only. It raises where ``most_rounds`` don't do.
+    """
     step = of_types(edges, types or REACH_EDGES).select(F.col("src").alias("id"), F.col("dst").alias("to")).filter("id is not null and to is not null").distinct()
-    seen = cut_lineage(roots.select("id").filter("id is not null").distinct())
-    front = seen
+    front = cut_lineage(roots.select("id").filter("id is not null").distinct())
+    seen = _Seen(front)
     for _ in range(most_rounds):
-        front = cut_lineage(front.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut_lineage(front.join(step, "id").select(F.col("to").alias("id")).distinct().join(seen.all(), "id", "left_anti"))
         if front.isEmpty():
-            return seen
-        seen = cut_lineage(seen.unionByName(front))
+            return seen.all()
+        seen.add(front)
     raise RuntimeError("reachability has not settled")
 
 
@@ -215,14 +259,18 @@ def unused_components(nodes: DataFrame, edges: DataFrame, repo: str) -> DataFram
 
 
 def context_flow(nodes: DataFrame, edges: DataFrame, repo: str) -> DataFrame:
-    """(provider, context, consumers): sorted distinct names of the consumers of each provided context."""
+    """(provider, context, consumers): sorted distinct names of the consumers of each provided context.
+
+    Consumers are gathered once a context, before its providers are joined to it.
+    """
     ctx = nodes.filter((F.col("repo_id") == repo) & (F.col("label") == "Context")).select(F.col("id").alias("ctx"), F.col("name").alias("context"))
     name = nodes.select("id", "name")
-    gives = of_types(edges, ["PROVIDES_CONTEXT"]).select("src", F.col("dst").alias("ctx")).join(name.toDF("src", "provider"), "src")
+    gives = of_types(edges, ["PROVIDES_CONTEXT"]).select("src", F.col("dst").alias("ctx")).join(name.toDF("src", "provider"), "src").select("ctx", "provider").distinct()
     takes = of_types(edges, ["CONSUMES_CONTEXT"]).select("src", F.col("dst").alias("ctx")).join(name.toDF("src", "consumer"), "src")
-    return (
-        ctx.join(gives.select("ctx", "provider"), "ctx").join(takes.select("ctx", "consumer"), "ctx").groupBy("provider", "context").agg(F.sort_array(F.collect_set("consumer")).alias("consumers"))
-    )
+    heard = takes.groupBy("ctx").agg(F.collect_set("consumer").alias("consumers"))
+    # Contexts of one name that one provider serves are one row.
+    flows = ctx.join(gives, "ctx").join(heard, "ctx").groupBy("provider", "context").agg(F.flatten(F.collect_list("consumers")).alias("all"))
+    return flows.select("provider", "context", F.array_sort(F.array_distinct("all")).alias("consumers"))
 
 
 def routes(nodes: DataFrame, edges: DataFrame, repo: str) -> DataFrame:

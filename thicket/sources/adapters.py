@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thicket.sources.stores import snapshot_folder, stored_graph
 from thicket.sources.tables import table
 
 LABELS = ["Component", "Hook", "Context", "Route", "Function"]
@@ -36,6 +37,12 @@ nodes AS (
 
 
 def graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) as they are stored, edges in folders by type; written at the first use and again when the tables' files change."""
+    tables = [f"{folder}/{name}.parquet" for name in ("customer", "nation", "orders", "lineitem", "supplier")]
+    return stored_graph(spark, snapshot_folder(spark, tables, "graph"), lambda: read_graph(spark, folder))
+
+
+def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) out of the tables in ``folder``."""
     customer, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
     path = F.concat(F.lit("n"), F.col("c_nationkey"), F.lit(".ts"))

@@ -8,6 +8,7 @@ A row is live if its generation is its key's newest and no later delete names it
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,16 @@ def snapshot_folder(spark: SparkSession, tables: list[str], name: str) -> str:
     return f"{shared_folder(spark)}/thicket-{name}-{hashlib.sha1(state.encode()).hexdigest()[:16]}"
 
 
+def stored_graph(spark: SparkSession, folder: str, make: Callable[[], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a stored graph, made and written if it isn't there: edges in folders by type, which a search by type prunes to."""
+    if not _files(spark, f"{folder}/edges/_SUCCESS"):
+        nodes, edges = make()
+        nodes.write.mode("overwrite").parquet(f"{folder}/nodes")
+        edges.write.mode("overwrite").partitionBy("type").parquet(f"{folder}/edges")
+    nodes, edges = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    return nodes, edges.withColumn("type", F.col("type").cast("string"))
+
+
 class _Generations:
     """Upserts, deletes and the live rows of one store."""
 
