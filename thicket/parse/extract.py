@@ -7,7 +7,7 @@ after is extracted. Plug-ins are functions of the file's ``Reader`` that add to
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -19,6 +19,10 @@ from thicket.parse.words import DIALECTS
 # Suffixes of each dialect (plain JavaScript is read with JSX), verbs of routes, and built-in hooks.
 BY_SUFFIX = {"ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "js": "jsx", "jsx": "jsx", "mjs": "jsx", "cjs": "jsx"}
 VERBS = {"get", "post", "put", "patch", "delete", "head", "options", "all"}
+BUILTIN_HOOKS = set(
+    """useState useEffect useContext useReducer useCallback useMemo useRef useImperativeHandle useLayoutEffect useDebugValue useDeferredValue useTransition useId
+    useSyncExternalStore useInsertionEffect useOptimistic useActionState""".split()
+)
 _HOOK = re.compile(r"use[A-Z0-9]")
 _IDENT = re.compile(r"[\w$]+")
 
@@ -36,6 +40,7 @@ class Symbol:
     last: int
     doc: str | None = None
     meta: dict[str, str] = field(default_factory=dict)
+    outer: Symbol | None = None
 
 
 class Reader:
@@ -60,7 +65,12 @@ class Reader:
         self.exports: list[dict] = []
         self.refs: list[dict] = []
         self.named: set[int] = set()
+        self.file_doc: str | None = None
         self._seen: set[tuple] = set()
+        self._qualified: set[str] = set()
+        # Symbols that are scopes, by their first token.
+        self._firsts: list[int] = []
+        self._scopes: list[Symbol] = []
 
     def word(self, i: int) -> str:
         m = _IDENT.match(self.text, self.offsets[i]) if i < self.n else None
@@ -106,7 +116,7 @@ class Reader:
         last = i
         while i < self.n:
             k = self.kinds[i]
-            if k in (";", ",", ")", "]", "}") or i > last and self.lines[i] and self.kinds[i - 1] not in ("=>", "=", "(", ",", "?", ":", "&&", "||", "+", ".") and k not in (".", "?.", "?", ":", "&&", "||", "+"):
+            if k in (";", ",", ")", "]", "}") or i > last and self.lines[i] and self.kinds[i - 1] not in ("=>", "=", "(", ",", "?", ":", "&&", "||", "+", ".", "|", "&") and k not in (".", "?.", "?", ":", "&&", "||", "+", "|", "&"):
                 break
             last = i
             i = self.close(i) + 1 if k in "([{" else i + 1
@@ -115,21 +125,30 @@ class Reader:
 
     def scope_at(self, i: int) -> Symbol | None:
         """The innermost symbol around a token, its own name aside."""
-        best = None
-        for s in self.symbols:
-            if s.first < i <= s.last and s.kind not in ("variable", "interface", "enum", "typeAlias") and (best is None or s.first >= best.first):
-                best = s
-        return best
+        n = bisect_left(self._firsts, i) - 1
+        s = self._scopes[n] if n >= 0 else None
+        while s and i > s.last:
+            s = s.outer
+        return s
 
     def add(self, kind: str, name: str, first: int, last: int, head: int, exported: bool, **meta: str) -> Symbol:
         parent = self.scope_at(first)
         qualified = f"{parent.qualified}.{name}" if parent else name
         signature = " ".join(self.text[self.offsets[first] : self.offsets[min(head, self.n)]].split())
-        s = Symbol(kind, name, qualified, signature, self.line(first), self.line(last), exported, first, last, meta=meta)
-        if all(o.qualified != qualified for o in self.symbols):
+        s = Symbol(kind, name, qualified, signature, self.line(first), self.line(last), exported, first, last, meta=meta, outer=parent)
+        if qualified not in self._qualified:
+            self._qualified.add(qualified)
             self.symbols.append(s)
+            if kind not in ("variable", "interface", "enum", "typeAlias"):
+                at = bisect_right(self._firsts, first)
+                self._firsts.insert(at, first)
+                self._scopes.insert(at, s)
         return s
 
+    def span(self, first: int, last: int) -> str:
+        """The text of tokens, with its space folded."""
+        return " ".join(self.text[self.offsets[first] : self.offsets[min(last + 1, self.n)]].split())
+
     def ref(self, i: int, name: str, kind: str) -> None:
         scope = self.scope_at(i)
         key = (scope.qualified if scope else None, name, kind, self.line(i))
@@ -239,7 +258,7 @@ def symbols(r: Reader) -> None:
             while body < r.n and r.kinds[body] != "{":
                 body += 1
             first, exported = _start(r, i - 1 if i and r.kinds[i - 1] == "const" else i)
-            r.add(k, r.word(i + 1), first, r.close(body), body, exported)
+            r.add(k, r.word(i + 1), first, r.close(body), body, exported, members=",".join(_members(r, body)), const=str(i > 0 and r.kinds[i - 1] == "const").lower())
             if k == "interface" and r.kinds[i + 2] == "extends":
                 for j in range(i + 3, body):
                     if r.is_name(j) and r.kinds[j - 1] in ("extends", ","):
@@ -247,7 +266,25 @@ def symbols(r: Reader) -> None:
         elif k == "type" and r.is_name(i + 1) and r.kinds[i + 2] in ("=", "<") and (i == 0 or r.lines[i] or r.kinds[i - 1] in ("export", ";", "declare", "}")):
             first, exported = _start(r, i)
             last = r.end_of_expression(i + 2)
-            r.add("typeAlias", r.word(i + 1), first, last, last + 1, exported)
+            alias = r.add("typeAlias", r.word(i + 1), first, last, last + 1, exported)
+            eq = next((j for j in range(i + 2, last + 1) if r.kinds[j] == "="), last)
+            alias.signature = f"type {r.word(i + 1)} = {r.span(eq + 1, last).rstrip(';').rstrip() if eq < last else 'unknown'}"
+
+
+def _members(r: Reader, body: int) -> list[str]:
+    """Names of the members of an interface or enum, in order."""
+    out, i, end = [], body + 1, r.close(body)
+    while i < end:
+        j = i
+        while j < end and r.kinds[j] in ("readonly", "get", "set", "static") and r.kinds[j + 1] not in (":", "?", "(", ";", ",", "}", "<"):
+            j += 1
+        name = r.string(j) if r.kinds[j] == "STR" else r.word(j)
+        if name and r.kinds[j] != "[":
+            out.append(name)
+        while i < end and r.kinds[i] not in (";", ",") and not (i > j and r.lines[i] and r.kinds[i - 1] not in (":", "|", "&", "=", "<", "=>", "?")):
+            i = r.close(i) + 1 if r.kinds[i] in "([{" else i + 1
+        i += i < end and r.kinds[i] in (";", ",")
+    return out
 
 
 def _methods(r: Reader, body: int, c: Symbol) -> None:
@@ -360,31 +397,64 @@ def _export(r: Reader, i: int) -> None:
             out(r.word(k), r.word(k), "named", None)
 
 
+def _props(r: Reader, s: Symbol) -> tuple[list[str], str | None]:
+    """(names that a component takes out of its first parameter, that parameter's type)."""
+    p = next((i for i in range(s.first, s.last) if r.kinds[i] == "(" and (r.kinds[r.close(i) + 1] in ("=>", "{", ":") or "function" in r.kinds[max(0, i - 2) : i])), None)
+    if p is None or s.kind == "class" or r.kinds[p + 1] == ")":
+        return [], None
+    end, names, j = r.close(p), [], p + 2
+    if r.kinds[p + 1] == "{":
+        close = r.close(p + 1)
+        at = p + 2
+        while at < close:
+            names.append("..." + r.word(at + 1) if r.kinds[at] == "..." else r.word(at))
+            while at < close and r.kinds[at] != ",":
+                at = r.close(at) + 1 if r.kinds[at] in "([{" else at + 1
+            at += 1
+        j = close + 1
+    j += r.kinds[j] == "?"
+    if r.kinds[j] != ":":
+        return [n for n in names if n], None
+    last = j + 1
+    depth = 0
+    while last < end and not (depth == 0 and r.kinds[last] in (",", "=")):
+        depth += (r.kinds[last] == "<") - (r.kinds[last] == ">")
+        last = r.close(last) + 1 if r.kinds[last] in "([{" else last + 1
+    return [n for n in names if n], r.span(j + 1, last - 1)
+
+
 def components(r: Reader) -> None:
-    """Components and hooks among the functions, and what they render."""
+    """Components and hooks among the functions, what they take and what they render."""
+    elements = [i for i in range(r.n) if r.kinds[i] == "<J"]
     for s in r.symbols:
-        inside = range(s.first, s.last + 1)
         tags: Counter[str] = Counter()
         if s.kind in ("function", "component", "class"):
+            inside = elements[bisect_left(elements, s.first) : bisect_right(elements, s.last)]
             for i in inside:
-                if r.kinds[i] == "<J" and i + 1 < r.n and r.kinds[i + 1] == "JNAME":
+                if i + 1 < r.n and r.kinds[i + 1] == "JNAME":
                     name, j = r.word(i + 1), i + 2
                     while r.kinds[j] == ".J":
                         name += "." + r.word(j + 1)
                         j += 2
                     if name[:1].isupper() or "." in name:
                         tags[name] += 1
-            jsx = any(r.kinds[i] == "<J" for i in inside)
-            if s.kind == "function" and jsx and s.name[:1].isupper():
+            if s.kind == "function" and inside and s.name[:1].isupper():
                 s.kind = "component"
             if s.kind == "component":
                 s.meta["jsxUsage"] = ",".join(f"{n}:{c}" for n, c in sorted(tags.items()))
+                props, kind = _props(r, s)
+                s.meta["props"] = ",".join(props)
+                if kind:
+                    s.meta["propsType"] = kind
+                provided = sorted(t.removesuffix(".Provider") for t in tags if t.endswith(".Provider"))
+                if provided:
+                    s.meta["providesContexts"] = ",".join(provided)
         if s.kind == "function" and _HOOK.match(s.name):
             s.kind = "hook"
 
 
-def routes(r: Reader) -> None:
-    """Express-like verbs, Route elements of a router, and file routes of app/ and pages/."""
+def express_routes(r: Reader) -> None:
+    """Calls of a verb with a path: ``app.get('/x', handler)``."""
     for i in range(r.n - 3):
         if r.kinds[i] == "." and r.kinds[i + 2] == "(" and r.word(i + 1) in VERBS:
             path = r.string(i + 3)
@@ -394,12 +464,17 @@ def routes(r: Reader) -> None:
                 for j in range(i + 5, close):
                     if r.is_name(j) and r.kinds[j - 1] == "," and r.kinds[j + 1] in (",", ")"):
                         r.refs.append({"scope": f"{r.word(i + 1).upper()} {path.replace(':', '$')}", "name": r.word(j), "kind": "handles", "line": r.line(j)})
-        elif r.kinds[i] == "<J" and r.word(i + 1) == "Route":
+
+
+def element_routes(r: Reader) -> None:
+    """Route elements of a router, with the component that they show."""
+    for i in range(r.n - 3):
+        if r.kinds[i] == "<J" and r.word(i + 1) == "Route":
             j, path, element = i + 2, None, None
             while j < r.n and r.kinds[j] not in (">J", "/>J"):
                 if r.kinds[j] == "JNAME" and r.word(j) == "path":
                     path = r.string(j + 2)
-                elif r.kinds[j] == "JNAME" and r.word(j) in ("element", "component") and r.kinds[j + 2] == "{":
+                elif r.kinds[j] == "JNAME" and r.word(j) in ("element", "component", "Component") and r.kinds[j + 2] == "{":
                     element = r.word(j + 4) if r.kinds[j + 3] == "<J" else r.word(j + 3)
                     j = r.close(j + 2)
                 j += 1
@@ -407,15 +482,29 @@ def routes(r: Reader) -> None:
                 _route(r, i, j, "ROUTE", path)
                 if element:
                     r.refs.append({"scope": f"ROUTE {path.replace(':', '$')}", "name": element, "kind": "handles", "line": r.line(i)})
+
+
+def folder_routes(r: Reader) -> None:
+    """Pages and APIs that a file's place below app/ or pages/ makes."""
     m = re.match(r"^(?:src/)?app/(.*?/?)(page|route)\.[jt]sx?$", r.path) or re.match(r"^(?:src/)?pages/(.*?)()\.[jt]sx?$", r.path)
     if m and r.n:
         pattern = "/" + re.sub(r"\[(?:\.\.\.)?(\w+)\]", r":\1", re.sub(r"\(\w+\)/", "", m[1])).removesuffix("index").strip("/")
         _route(r, 0, r.n - 1, "PAGE" if m[2] != "route" else "API", pattern)
 
 
+#: Plug-ins that find routes; add a function of the ``Reader`` to find those of another framework.
+ROUTE_DETECTORS = [express_routes, element_routes, folder_routes]
+
+
+def routes(r: Reader) -> None:
+    for detect in ROUTE_DETECTORS:
+        detect(r)
+
+
 def _route(r: Reader, first: int, last: int, verb: str, pattern: str) -> None:
     name = f"{verb} {pattern.replace(':', '$')}"
-    if all(s.qualified != name for s in r.symbols):
+    if name not in r._qualified:
+        r._qualified.add(name)
         r.symbols.append(Symbol("route", name, name, name, r.line(first), r.line(last), False, first, first, meta={"routePattern": pattern}))
 
 
@@ -432,7 +521,12 @@ def references(r: Reader) -> None:
             p = next((i for i in range(s.first, s.last) if r.kinds[i] == "("), None)
             if p is not None:
                 own |= {r.word(i) for i in range(p, r.close(p)) if r.is_name(i)}
+    used: dict[str, tuple[Symbol, dict[str, dict[str, None]]]] = {}
+    # What stands in a type is no call.
+    types = {i for s in r.symbols if s.kind in ("interface", "typeAlias") for i in range(s.first, s.last + 1)}
     for i in range(r.n):
+        if i in types:
+            continue
         before = r.kinds[i - 1] if i else ""
         k = r.kinds[i]
         if k == "<J" and r.kinds[i + 1] == "JNAME":
@@ -453,10 +547,17 @@ def references(r: Reader) -> None:
             after = j if r.kinds[j] == "(" and r.kinds[j - 1] == ">" else after
         if after < r.n and r.kinds[after] == "(" and k != "super":
             if i not in r.named:
-                hook = _HOOK.match(name.split(".")[-1])
+                called = name.split(".")[-1]
+                hook = _HOOK.match(called)
                 r.ref(i, name, "hook" if hook else "call")
-                if name.split(".")[-1] in ("useContext", "useReducer") and r.is_name(after + 1):
-                    r.ref(after + 1, r.chain(after + 1)[0], "read")
+                scope = r.scope_at(i) if hook else None
+                if scope:
+                    used.setdefault(scope.qualified, (scope, {}))[1].setdefault("hooksUsed", {})[called] = None
+                if called in ("useContext", "useReducer") and r.is_name(after + 1):
+                    read = r.chain(after + 1)[0]
+                    r.ref(after + 1, read, "read")
+                    if scope:
+                        used[scope.qualified][1].setdefault("consumesContexts" if called == "useContext" else "reducers", {})[read] = None
         first = name.split(".")[0]
         if first in shared and before not in ("const", "let", "var") and not (after < r.n and r.kinds[after] == ":" and before in ("{", ",")):
             scope = r.scope_at(i)
@@ -464,21 +565,54 @@ def references(r: Reader) -> None:
             if scope and not any(first in shadows.get(".".join(around[:n]), ()) for n in range(1, len(around) + 1)):
                 write = after < r.n and after == i + 1 and (r.kinds[after].endswith("=") and r.kinds[after] not in ("==", "===", "!=", "!==", "<=", ">=") or r.kinds[after] in ("++", "--"))
                 r.ref(i, first, "write" if write else "read")
+    for scope, found in used.values():
+        for name, values in found.items():
+            scope.meta[name] = ",".join(values)
+        scope.meta["customHooksUsed"] = ",".join(h for h in found.get("hooksUsed", ()) if h not in BUILTIN_HOOKS)
+
+
+_PARAM = re.compile(r"@param\s+(?:\{[^}]*\}\s+)?(\[?[\w.$]+\]?)\s*-?\s*([^\n]*)")
+
+
+def read_doc(raw: str) -> tuple[str, dict[str, str]]:
+    """(text of a documentation block, its tags): the summary ahead of the first tag, parameters, returns and deprecation."""
+    text = "\n".join(re.sub(r"^\s*\*? ?", "", x).rstrip() for x in raw.removeprefix("/**").removesuffix("*/").split("\n")).strip()
+    first = re.search(r"^@\w", text, re.M)
+    tags = text[first.start() :] if first else ""
+    meta = {"summary": (text[: first.start()] if first else text).strip()}
+    params = [f"{m[1].strip('[]')}: {m[2].strip()}" for m in _PARAM.finditer(tags)]
+    if params:
+        meta["params"] = "\n".join(params)
+    returns = re.search(r"@returns?\s+([^\n]*)", tags)
+    if returns and returns[1].strip():
+        meta["returns"] = returns[1].strip()
+    deprecated = re.search(r"@deprecated\s*([^\n]*)", tags)
+    if deprecated:
+        meta["deprecated"] = deprecated[1].strip() or "true"
+    return text, meta
 
 
 def docs(r: Reader) -> None:
-    """Documentation blocks that end right ahead of a symbol."""
+    """Documentation blocks that end right ahead of a symbol, and one at the top that belongs to none: the file's."""
+    taken: set[int] = set()
     for s in r.symbols:
         if s.kind == "route":
             continue
-        ahead = r.text[: r.offsets[s.first]].rstrip()
-        if ahead.endswith("*/"):
-            start = ahead.rfind("/**")
-            if start >= 0 and "*/" not in ahead[start:-2]:
-                lines = [re.sub(r"^\s*\*? ?", "", x).rstrip() for x in ahead[start + 3 : -2].split("\n")]
-                s.doc = "\n".join(lines).strip() or None
-                if s.doc and "@deprecated" in s.doc:
-                    s.meta["deprecated"] = "true"
+        at = r.offsets[s.first]
+        while at and r.text[at - 1].isspace():
+            at -= 1
+        if r.text.endswith("*/", 0, at):
+            start = r.text.rfind("/**", 0, at - 2)
+            if start >= 0 and r.text.find("*/", start + 3) == at - 2:
+                taken.add(start)
+                text, meta = read_doc(r.text[start:at])
+                s.doc = text or None
+                s.meta |= {k: v for k, v in meta.items() if v and k != "summary"}
+    top = 1 if r.text.startswith("\ufeff") else 0
+    if r.text.startswith("/**", top) and top not in taken:
+        end = r.text.find("*/", top + 3)
+        if end >= 0:
+            r.file_doc = read_doc(r.text[top : end + 2])[1]["summary"]
 
 
 EXTRACTORS = [symbols, modules, components, routes, references, docs]

@@ -13,7 +13,7 @@ from thicket.operators.resolve import package_name, resolve_exports, resolve_mod
 from thicket.parse.extract import extract
 from thicket.session import cut_lineage
 
-PARSED = """repo_id string, path string, error string,
+PARSED = """repo_id string, path string, error string, file_doc string,
     symbols array<struct<kind:string,name:string,qualified:string,signature:string,doc:string,start_line:int,end_line:int,exported:boolean,meta:map<string,string>>>,
     imports array<struct<source:string,kind:string,source_class:string,line:int,specifiers:array<struct<local:string,imported:string>>>>,
     exports array<struct<ord:int,name:string,local:string,kind:string,source:string,line:int>>,
@@ -26,7 +26,7 @@ LABELS = {"function": "Function", "method": "Method", "class": "Class", "interfa
 def parse_sources(sources: DataFrame, extractors: list[Callable] | None = None) -> DataFrame:
     """One row (repo_id, path, error, symbols, imports, exports, refs) for each of ``sources(repo_id, path, source)``.
 
-    A file that can't be parsed has an error, and what stands before the fault; a suffix without parser has an error alone. No file
+    A file that can't be parsed has an error, and what could be read of it; a suffix without parser has an error alone. No file
     fails the job. Extra columns are dropped, null sources left out.
     """
 
@@ -37,11 +37,11 @@ def parse_sources(sources: DataFrame, extractors: list[Callable] | None = None)
                 try:
                     r = extract(path, text, extractors)
                 except Exception as e:  # noqa: BLE001
-                    rows.append((repo, path, f"{type(e).__name__}: {e}"[:300], [], [], [], []))
+                    rows.append((repo, path, f"{type(e).__name__}: {e}"[:300], None, [], [], [], []))
                     continue
                 own = [{"kind": s.kind, "name": s.name, "qualified": s.qualified, "signature": s.signature, "doc": s.doc, "start_line": s.start, "end_line": s.end, "exported": s.exported, "meta": s.meta} for s in r.symbols]
-                rows.append((repo, path, r.error, own, r.imports, r.exports, r.refs))
-            yield pd.DataFrame(rows, columns=["repo_id", "path", "error", "symbols", "imports", "exports", "refs"])
+                rows.append((repo, path, r.error, r.file_doc, own, r.imports, r.exports, r.refs))
+            yield pd.DataFrame(rows, columns=["repo_id", "path", "error", "file_doc", "symbols", "imports", "exports", "refs"])
 
     return sources.filter("source is not null and path is not null").select("repo_id", "path", "source").mapInPandas(parsed, PARSED)
 
@@ -67,7 +67,11 @@ def resolve(t: dict[str, DataFrame], aliases: list[tuple[str, list[str]]] | None
     need = bound.filter("target_file is not null and imported <> '*'").select(F.col("target_file").alias("file"), F.col("imported").alias("name"))
     led = resolve_exports(need, exports, t["symbols"].select("file", "qualified", "id")).select(F.col("file").alias("target_file"), F.col("name").alias("imported"), "symbol_id")
     bindings = bound.join(led, ["target_file", "imported"], "left")
-    refs = t["refs"].filter("kind <> 'handles'").select("repo_id", "path", "file", F.coalesce("scope", F.lit("")).alias("scope"), "name", "kind", "line")
+    # What handles a route is named at the top of the file, whatever the route is called.
+    handles = F.col("kind") == "handles"
+    refs = t["refs"].select(
+        "repo_id", "path", "file", F.when(handles, "").otherwise(F.coalesce("scope", F.lit(""))).alias("scope"), "name", "kind", "line", F.when(handles, F.col("scope")).alias("route")
+    )
     # A provider element refers to its context.
     provider = (F.col("kind") == "jsx") & F.col("name").endswith(".Provider")
     refs = refs.withColumn("provides", provider).withColumn("name", F.when(provider, F.regexp_replace("name", r"\.Provider$", "")).otherwise(F.col("name")))
@@ -131,8 +135,7 @@ def edges_of(t: dict[str, DataFrame], references: DataFrame, aliases: list[tuple
         .when((F.col("kind") == "read") & F.col("target_kind").isin("enum", "typeAlias"), "USES")
     )
     behaviour = edge(r, source, F.col("resolved"), kind, none, F.col("line")).filter("type is not null and (type <> 'CALLS' or src <> dst)")
-    handled = t["refs"].filter("kind = 'handles'").join(s.filter("instr(qualified, '.') = 0").select("file", F.col("qualified").alias("name"), "id"), ["file", "name"])
-    handles = edge(handled, F.col("id"), F.concat("file", F.lit("#"), F.col("scope")), F.lit("HANDLES"), none, F.col("line"))
+    handles = edge(r.filter("kind = 'handles'"), F.col("resolved"), F.concat("file", F.lit("#"), F.col("route")), F.lit("HANDLES"), none, F.col("line"))
     every = holds.unionByName(defines).unionByName(imports).unionByName(exports).unionByName(behaviour).unionByName(handles)
     named = F.when(F.col("type") == "EXPORTS", F.col("kind")).otherwise("")
     return every.groupBy("repo_id", "src", "dst", "type", named.alias("name")).agg(F.min("kind").alias("kind"), F.min("line").alias("line"), F.count("*").alias("count")).drop("name")
