@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -100,18 +101,35 @@ def key_modules(symbols: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
     return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("repo_id", "rel_path", "exports", "rank")
 
 
-def summarize_repository(repo: str, files: DataFrame, symbols: DataFrame, entries: list[str] | None = None) -> dict[str, DataFrame]:
-    """The parts of a repository's summary."""
+#: Dependencies that tell a stack.
+STACKS = {"react": "React", "next": "Next.js", "vue": "Vue", "svelte": "Svelte", "express": "Express", "fastify": "Fastify", "vite": "Vite", "webpack": "webpack", "typescript": "TypeScript", "vitest": "Vitest", "jest": "Jest"}
+# Entry points that are looked for where none is configured.
+ENTRY_POINTS = ["src/main.ts", "src/main.tsx", "src/index.ts", "src/index.tsx", "src/App.tsx", "main.ts", "index.ts"]
+
+
+def summarize_repository(repo: str, files: DataFrame, symbols: DataFrame, entries: list[str] | None = None, dependencies: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The parts of a repository's summary: languages, symbols, key modules, entry points and, by its ``dependencies(repo_id, name)``, stacks.
+
+    Entry points are the configured ones that exist, or else the usual candidates that do.
+    """
     f, s = files.filter(F.col("repo_id") == repo), symbols.filter(F.col("repo_id") == repo)
-    return {
+    paths = f.select("rel_path").distinct()
+    configured = paths.filter(F.col("rel_path").isin(entries or []))
+    usual = paths.filter(F.col("rel_path").isin(ENTRY_POINTS))
+    out = {
         "languages": language_counts(f),
         "symbols": symbol_counts(s),
         "key_modules": key_modules(s, f),
-        "entry_points": f.filter(F.col("rel_path").isin(ENTRY_FILES if entries is None else entries)).select("rel_path").distinct(),
+        # A handful of rows by construction.
+        "entry_points": configured if entries and not configured.isEmpty() else usual,
     }
+    if dependencies is not None:
+        names = F.create_map(*[F.lit(x) for pair in STACKS.items() for x in pair])
+        out["stacks"] = dependencies.filter(F.col("repo_id") == repo).select(F.element_at(names, F.col("name")).alias("stack")).filter("stack is not null").distinct()
+    return out
 
 
-# The patterns of the rules, their words and messages.
+# The patterns of the rules and the words that they pass over.
 NOT_OUTER = set("const let var return if else true false null undefined this new typeof console window document Math JSON Object Array String Number Boolean Promise".split())
 _HOOK_CALL = re.compile(r"use(?:Effect|Callback|Memo)\(\s*(?:\([^)]*\)|\w+)\s*=>\s*\{([\s\S]*?)\n?\}\s*,\s*\[([^\]]*)\]\s*\)", re.A)
 _LOWER_WORD = re.compile(r"(\.\s*)?\b[a-z][a-zA-Z0-9]*\b", re.A)
@@ -124,41 +142,92 @@ _IMG = re.compile(r"<img\b(?![^>]*\balt\s*=)[^>]*>", re.I | re.A)
 _HTML = re.compile(r"dangerouslySetInnerHTML")
 
 
-def findings(text: str) -> list[tuple[str, int, str]]:
-    """(rule, line, severity) of all rules, by line."""
-    out: list[tuple[str, int, str]] = []
+# What each rule says; the dependency and the component are named where there is one.
+MESSAGES = {
+    "react-hook-deps": '"{0}" is used in the effect/callback body but missing from its dependency array',
+    "react-list-key": "JSX element rendered inside .map() has no key prop",
+    "perf-array-index-key": "Array index used as the key prop — breaks on reorder/insert/delete",
+    "react-memo-inline-prop": "<{0}> is memoized but called with a new inline function/object prop every render",
+    "ts-any-leak": "Explicit `any` type annotation leaks untyped values",
+    "ts-non-null-assertion": "Non-null assertion (!) — consider a real null check or optional chaining",
+    "a11y-img-alt": "<img> is missing an alt attribute (accessibility)",
+    "security-dangerous-html": "dangerouslySetInnerHTML bypasses React's escaping — verify the HTML is sanitized",
+}
+Found = Iterator[tuple[int, str]]
 
-    def add(rule: str, at: int, severity: str) -> None:
-        out.append((rule, text.count("\n", 0, at) + 1, severity))
 
+def _hook_deps(text: str) -> Found:
     for m in _HOOK_CALL.finditer(text):
         deps = {d.strip() for d in m[2].split(",")}
         outer = (w[0] for w in _LOWER_WORD.finditer(m[1]) if not w[1] and w[0] not in NOT_OUTER and not re.match("set[A-Z]", w[0]))
-        if any(w not in deps for w in outer):
-            add("react-hook-deps", m.start(), "warning")
-    for m in _LIST_ITEM.finditer(text):
-        if not re.search(r"\bkey\s*=", m[2]):
-            add("react-list-key", m.start(), "warning")
-    for m in _INDEX_KEY.finditer(text):
-        add("perf-array-index-key", m.start(), "warning")
+        missing = next((w for w in outer if w not in deps), None)
+        if missing:
+            yield m.start(), missing
+
+
+def _list_key(text: str) -> Found:
+    return ((m.start(), "") for m in _LIST_ITEM.finditer(text) if not re.search(r"\bkey\s*=", m[2]))
+
+
+def _memo_props(text: str) -> Found:
     for memo in _MEMO.finditer(text):
         for m in re.finditer(rf"<{memo[1]}\b[^>]*=\{{(?:\([^)]*\)\s*=>|function\b|\{{)", text):
-            add("react-memo-inline-prop", m.start(), "info")
-    for rule, pattern, severity in (("ts-any-leak", _ANY, "warning"), ("ts-non-null-assertion", _NON_NULL, "info"), ("a11y-img-alt", _IMG, "warning"), ("security-dangerous-html", _HTML, "warning")):
-        for m in pattern.finditer(text):
-            add(rule, m.start(), severity)
+            yield m.start(), memo[1]
+
+
+def _pattern(pattern: re.Pattern[str]) -> Callable[[str], Found]:
+    return lambda text: ((m.start(), "") for m in pattern.finditer(text))
+
+
+#: Plug-ins (rule, severity, function of a text to (offset, named word)); add one to check more. Its message stands in MESSAGES or is the rule's name.
+RULES: list[tuple[str, str, Callable[[str], Found]]] = [
+    ("react-hook-deps", "warning", _hook_deps),
+    ("react-list-key", "warning", _list_key),
+    ("perf-array-index-key", "warning", _pattern(_INDEX_KEY)),
+    ("react-memo-inline-prop", "info", _memo_props),
+    ("ts-any-leak", "warning", _pattern(_ANY)),
+    ("ts-non-null-assertion", "info", _pattern(_NON_NULL)),
+    ("a11y-img-alt", "warning", _pattern(_IMG)),
+    ("security-dangerous-html", "warning", _pattern(_HTML)),
+]
+
+
+def findings(text: str, rules: list[tuple[str, str, Callable[[str], Found]]] | None = None) -> list[tuple[str, int, str, str]]:
+    """(rule, line, severity, message) of all rules, by line."""
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    out = []
+    for rule, severity, check in RULES if rules is None else rules:
+        out += [(rule, bisect_left(breaks, at) + 1, severity, MESSAGES.get(rule, rule).format(word)) for at, word in check(text)]
     return sorted(out, key=lambda f: f[1])
 
 
-def rule_findings(sources: DataFrame) -> DataFrame:
-    """(file_id, rule, line, severity): findings of the whole rule pack in each source; null sources have none."""
+def rule_findings(sources: DataFrame, rules: list[tuple[str, str, Callable[[str], Found]]] | None = None) -> DataFrame:
+    """(file_id, rule, line, severity, message): findings of the whole rule pack in each source; null sources have none."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f, *x) for f, text in zip(batch["file_id"], batch["source"]) for x in findings(text)]
-            yield pd.DataFrame(rows, columns=["file_id", "rule", "line", "severity"])
+            rows = [(f, *x) for f, text in zip(batch["file_id"], batch["source"]) for x in findings(text, rules)]
+            yield pd.DataFrame(rows, columns=["file_id", "rule", "line", "severity", "message"])
 
-    return sources.filter("source is not null").select("file_id", "source").distinct().mapInPandas(check, "file_id string, rule string, line int, severity string")
+    once = sources.filter("source is not null").select("file_id", "source").distinct()
+    return once.mapInPandas(check, "file_id string, rule string, line int, severity string, message string").distinct()
+
+
+def advise(model, path: str, text: str, start: int = 1, guidelines: str = "") -> dict:
+    """Findings of one symbol's text, a model's advice on them in the light of the project's guidelines, and a patch where one is safe.
+
+    Only a missing alt text is patched: (path, first and last line of the file, replacement). Nothing is written.
+    """
+    found = findings(text)
+    said = "\n".join(f"- line {line} [{severity}] {rule}: {message}" for rule, line, severity, message in found) or "none"
+    prompt = f"File: {path}\n\n{text}\n\nStatic findings:\n{said}" + (f"\n\nProject guidelines:\n{guidelines}" if guidelines else "")
+    patch = None
+    for rule, line, _, _ in found:
+        fixed = suggest_alt_patch(text, line) if rule == "a11y-img-alt" else None
+        if fixed is not None:
+            patch = {"path": path, "start_line": start + line - 1, "end_line": start + line - 1, "replacement": fixed}
+            break
+    return {"findings": found, "advice": model.complete(prompt), "patch": patch}
 
 
 #: Rules without look-around, as column patterns: they stay in the JVM.
