@@ -260,6 +260,21 @@ def test_pipeline_end_to_end(spark, code):
     assert answer.grounded and [c["mark"] for c in answer.citations] == ["S1"] and answer.intent == ("who_calls", {"name": "used?"})
     with pytest.raises(ValidationError):
         rag.search(index, "x", "fuzzy")
+    for mode in ("keyword", "semantic", "hybrid"):
+        everywhere = {r["symbol_id"]: r["score"] for r in rag.search(index, "used", mode, 100).collect()}
+        kinds = {r["id"]: r["kind"] for r in symbols.collect()}
+        only = {r["symbol_id"]: r["score"] for r in rag.search(index, "used", mode, 100, kinds=["Function"]).collect()}
+        assert only and {kinds[x] for x in only} == {"function"} and (mode == "hybrid" or all(abs(everywhere[x] - v) < 1e-9 for x, v in only.items()))
+        assert rag.search(index, "used", mode, 100, path_prefix="nowhere/").isEmpty()
+    assert rag.search(index, "used", "hybrid", 100, language="json").isEmpty() and not rag.search(index, "used", "semantic", 5, language="typescript").isEmpty()
+    assert any(c["graph_path"] for c in answer.citations)
+    kept = []
+    rag.RETRIEVERS["none"] = lambda index, text, k: None
+    try:
+        plain = rag.ask(index, "used", rag.MockModel(["[S1]"]), rerank=False, count=len, budget=400, remember=lambda role, said: kept.append(role))
+    finally:
+        del rag.RETRIEVERS["none"]
+    assert kept == ["user", "assistant"] and sum(b["tokens"] for b in plain.blocks) <= 400
 
 
 def test_rewriting_falls_back():

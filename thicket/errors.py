@@ -19,3 +19,9 @@ class ConflictError(EngineError):
 
 class ParseError(EngineError):
     code, status = "PARSE", 422
+
+
+class ModelError(EngineError):
+    """What a model plug-in raises where it can't answer."""
+
+    code, status = "MODEL", 502

@@ -55,7 +55,7 @@ def assemble(rows: list[dict], budget: int = BUDGET, count: Callable[[str], int]
 FIELDS = ["symbol_id", "path", "start_line", "end_line", "signature", "qualified", "doc", "code", "callers", "callees", "related"]
 
 
-def context_blocks(ranked: DataFrame, budget: int = BUDGET, most: int = 8) -> DataFrame:
+def context_blocks(ranked: DataFrame, budget: int = BUDGET, most: int = 8, count: Callable[[str], int] = quarter) -> DataFrame:
     """(query, mark, symbol_id, path, start_line, end_line, text, tokens, truncated) for many questions at once.
 
     ``ranked`` has (query, rank) and the fields of ``assemble``; the best ``most`` of each question are gathered in one row, a
@@ -67,7 +67,7 @@ def context_blocks(ranked: DataFrame, budget: int = BUDGET, most: int = 8) -> Da
         for batch in batches:
             out = []
             for query, rows in zip(batch["query"], batch["rows"]):
-                blocks, _, truncated = assemble([dict(r) for r in rows], budget)
+                blocks, _, truncated = assemble([dict(r) for r in rows], budget, count)
                 out += [{"query": query, **b, "truncated": truncated} for b in blocks]
             yield pd.DataFrame(out, columns=["query", "mark", "symbol_id", "path", "start_line", "end_line", "text", "tokens", "truncated"])
 

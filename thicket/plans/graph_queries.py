@@ -107,9 +107,9 @@ def dependent_files(nodes, edges):
     return graph.dependent_files(edges, nodes.filter("label = 'File'").select("id"))
 
 
-@query(", walk(id) AS (SELECT src FROM edges WHERE type = 'IMPORTS' AND dst = 'shop:n3.ts' UNION SELECT src FROM walk JOIN edges ON dst = id AND type = 'IMPORTS') SELECT id FROM walk")
+@query(", walk(id) AS (SELECT src FROM edges WHERE type = 'IMPORTS' AND dst IN ('shop:n9.ts', 'shop:n12.ts', 'shop:n23.ts') UNION SELECT src FROM walk JOIN edges ON dst = id AND type = 'IMPORTS') SELECT id FROM walk")
 def dependents_closure(nodes, edges):
-    return graph.dependents_closure(edges, nodes.filter("id = 'shop:n3.ts'").select("id"))
+    return graph.dependents_closure(edges, nodes.filter("id in ('shop:n9.ts', 'shop:n12.ts', 'shop:n23.ts')").select("id"))
 
 
 @query("SELECT DISTINCT a.id, a.name, a.path FROM nodes t JOIN edges e ON e.dst = t.id AND e.type = 'CALLS' JOIN nodes a ON a.id = e.src WHERE t.name = 'Customer#000000042'")
@@ -206,15 +206,16 @@ SQL["call_edge_agg"] = "SELECT o_custkey AS src, l_suppkey AS dst, count(*) AS c
 
 
 def dependency_mismatches(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as what is declared, customers of orders as what is imported: the keys of one that the other lacks."""
     from thicket.sources.tables import table
 
-    declared = table(spark, folder, "part").filter("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("name"))
-    imports = table(spark, folder, "lineitem").filter("l_quantity < 3").select(F.concat(F.lit("p"), F.col("l_partkey")).alias("name"))
+    declared = table(spark, folder, "part").select(F.concat(F.lit("k"), F.col("p_partkey")).alias("name"))
+    imports = table(spark, folder, "orders").select(F.concat(F.lit("k"), F.col("o_custkey")).alias("name"))
     return analysis.dependency_mismatches(declared, imports)
 
 
 QUERIES["dependency_mismatches"] = dependency_mismatches
-SQL["dependency_mismatches"] = """WITH d AS (SELECT DISTINCT 'p' || p_partkey AS name FROM part WHERE p_partkey % 3 <> 0), i AS (SELECT 'p' || l_partkey AS name, count(*) AS n FROM lineitem WHERE l_quantity < 3 GROUP BY 1)
+SQL["dependency_mismatches"] = """WITH d AS (SELECT DISTINCT 'k' || p_partkey AS name FROM part), i AS (SELECT 'k' || o_custkey AS name, count(*) AS n FROM orders GROUP BY 1)
 SELECT coalesce(d.name, i.name) AS name, CASE WHEN d.name IS NULL THEN 'phantom' ELSE 'unused' END AS kind, coalesce(i.n, 0) AS import_count FROM d FULL JOIN i ON d.name = i.name WHERE d.name IS NULL OR i.name IS NULL"""
 
 

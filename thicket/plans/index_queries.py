@@ -30,11 +30,16 @@ _DIFF = f"""SELECT coalesce(d.repo_id, s.repo_id) AS repo_id, coalesce(d.path, s
 FROM {_DISCOVERED} d FULL JOIN (SELECT DISTINCT repo_id, rel_path AS path, content_hash AS hash FROM files) s ON s.repo_id = d.repo_id AND s.path = d.path"""
 
 
+def discovered(spark: SparkSession, folder: str) -> DataFrame:
+    """(repo_id, path, hash) of the sources that are there."""
+    f = F.col("file_id")
+    return table(spark, folder, "file_sources").filter("file_id is not null").select(ids.repo_of(f).alias("repo_id"), ids.path_of(f).alias("path"), ids.content_hash(F.col("source")).alias("hash"))
+
+
 @query(_DIFF)
 def hash_diff(spark: SparkSession, folder: str) -> DataFrame:
-    found = table(spark, folder, "file_sources").filter("file_id is not null").select(ids.repo_of(F.col("file_id")).alias("repo_id"), ids.path_of(F.col("file_id")).alias("path"), ids.content_hash(F.col("source")).alias("hash"))
     stored = table(spark, folder, "files").select("repo_id", F.col("rel_path").alias("path"), F.col("content_hash").alias("hash"))
-    return indexing.hash_diff(found, stored)
+    return indexing.hash_diff(discovered(spark, folder), stored)
 
 
 @query(f"WITH t AS (SELECT DISTINCT repo_id FROM ({_DIFF}) WHERE state IN ('added', 'changed', 'removed')) SELECT id, CAST(coalesce(generation, 0) + CASE WHEN repo_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS generation FROM repositories LEFT JOIN t ON id = repo_id")
@@ -43,12 +48,12 @@ def next_generation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH f AS (SELECT DISTINCT repo_id, rel_path AS path, substr(content_hash, 1, 2) AS hash FROM files), a AS (SELECT repo_id, hash, min(path) AS new_path FROM f WHERE length(path) % 2 = 1 GROUP BY 1, 2) "
-    "SELECT f.repo_id, f.path AS old_path, new_path FROM f JOIN a ON a.repo_id = f.repo_id AND a.hash = f.hash WHERE length(f.path) % 2 = 0"
+    f"SELECT DISTINCT f.repo_id, f.rel_path AS old_path, new_path FROM files f JOIN (SELECT repo_id, hash, min(path) AS new_path FROM {_DISCOVERED} GROUP BY 1, 2) a ON a.repo_id = f.repo_id AND a.hash = f.content_hash"
 )
 def rename_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    f = table(spark, folder, "files").select("repo_id", F.col("rel_path").alias("path"), F.substring("content_hash", 1, 2).alias("hash")).distinct()
-    return indexing.rename_pairs(f.filter("length(path) % 2 = 0"), f.filter("length(path) % 2 = 1"))
+    """Where the content of each catalogued file lies now."""
+    stored = table(spark, folder, "files").select("repo_id", F.col("rel_path").alias("path"), F.col("content_hash").alias("hash"))
+    return indexing.rename_pairs(stored, discovered(spark, folder))
 
 
 @query(
@@ -61,12 +66,13 @@ def chunk_windows(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("file_id", F.col("part").cast("long").alias("part"), F.col("first_line").cast("long").alias("first_line"), F.col("n_lines").cast("long").alias("n_lines"), ids.content_hash(F.col("content")).alias("hash"))
 
 
-_NEW = "(SELECT DISTINCT id, CASE WHEN length(id) % 3 = 0 THEN 'changed' ELSE content_hash END AS content_hash FROM chunks)"
+_NEW = "(SELECT DISTINCT id, substr(sha256(content), 1, 16) AS content_hash FROM chunks)"
 
 
 def _fresh(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks with the hash of what they hold, chunks as they were stored): hashes that are stale show."""
     prior = table(spark, folder, "chunks")
-    return prior.select("id", F.when(F.length("id") % 3 == 0, "changed").otherwise(F.col("content_hash")).alias("content_hash")).distinct(), prior
+    return prior.select("id", ids.content_hash(F.col("content")).alias("content_hash")).distinct(), prior
 
 
 @query(f"SELECT n.id, n.content_hash FROM {_NEW} n WHERE NOT EXISTS (SELECT 1 FROM chunks c WHERE c.embedded_at IS NOT NULL AND c.id = n.id AND c.content_hash = n.content_hash)")
@@ -81,10 +87,10 @@ def carry_over(spark: SparkSession, folder: str) -> DataFrame:
     return indexing.carry_over(new, prior)
 
 
-@query("SELECT DISTINCT id FROM symbols WHERE id NOT IN (SELECT id FROM symbols WHERE start_line > 20)")
+@query("SELECT DISTINCT id FROM symbols WHERE id IS NOT NULL AND id NOT IN (SELECT symbol_id FROM chunks WHERE symbol_id IS NOT NULL)")
 def gone_symbols(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "symbols")
-    return indexing.gone(s.filter("start_line > 20"), s)
+    """Symbols of which no chunk is left."""
+    return indexing.gone(table(spark, folder, "chunks").select(F.col("symbol_id").alias("id")), table(spark, folder, "symbols").filter("id is not null"))
 
 
 @query(
@@ -208,14 +214,16 @@ def rule_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def import_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """(repo_id, path, specifier) of static imports and re-exports, by the text of their lines."""
-    s = table(spark, folder, "file_sources").filter("source is not null").distinct()
-    found = F.regexp_extract_all("source", F.lit(r"(?m)^(?:import|export)[^'\"\n]*?['\"]([^'\"\n]+)['\"]"), F.lit(1))
-    rows = s.select("file_id", F.explode(found).alias("specifier"))
-    return rows.select(ids.repo_of(F.col("file_id")).alias("repo_id"), ids.path_of(F.col("file_id")).alias("path"), "specifier").distinct()
+    """(repo_id, path, specifier) of all imports, requires and re-exports as parsed."""
+    from thicket.plans.codegraph import parse_sources, tables
+
+    t = tables(parse_sources(_sources(spark, folder)))
+    both = t["imports"].select("repo_id", "path", F.col("source").alias("specifier")).unionByName(t["exports"].select("repo_id", "path", F.col("source").alias("specifier")))
+    return both.filter("specifier is not null").distinct()
 
 
-_IMPORTS = r"""i AS (SELECT DISTINCT split_part(file_id, ':', 1) AS repo_id, regexp_replace(file_id, '^[^:]*:', '') AS path, unnest(regexp_extract_all(source, '(?m)^(?:import|export)[^''"\n]*?[''"]([^''"\n]+)[''"]', 1)) AS specifier FROM file_sources WHERE source IS NOT NULL)"""
+_IMPORTS = r"""src AS (SELECT DISTINCT file_id, min(source) AS source FROM file_sources WHERE source IS NOT NULL AND regexp_matches(file_id, '\.(ts|mts|cts|tsx|js|jsx|mjs|cjs)$') GROUP BY 1),
+i AS (SELECT DISTINCT split_part(file_id, ':', 1) AS repo_id, regexp_replace(file_id, '^[^:]*:', '') AS path, unnest(list_concat(regexp_extract_all(source, '(?m)^\x{FEFF}?(?:import\s|export\s+(?:type\s+)?[{*])[^''"`;=()]*?[''"]([^''"\n]+)[''"]', 1), regexp_extract_all(source, '(?:^|[^.\w$])(?:require|import)\(\s*[''"]([^''"\n]+)[''"]', 1))) AS specifier FROM src)"""
 
 
 @query(
@@ -270,7 +278,8 @@ def truncated_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
-    s = table(spark, folder, "file_sources").filter("source is not null").dropDuplicates(["file_id"])
+    # Texts of one file that differ: the least of them.
+    s = table(spark, folder, "file_sources").filter("source is not null").groupBy("file_id").agg(F.min("source").alias("source"))
     rows = s.select(ids.repo_of(F.col("file_id")).alias("repo_id"), ids.path_of(F.col("file_id")).alias("path"), "source")
     return rows.repartition(spread_partitions(spark), "repo_id", "path")
 
@@ -291,6 +300,19 @@ def parsed_symbols(spark: SparkSession, folder: str) -> DataFrame:
     return tables(parse_sources(_sources(spark, folder)))["symbols"].select("id", "kind", "name", "qualified", "signature", "doc", "start_line", "end_line", "exported")
 
 
+_CODE = r"""src AS (SELECT file_id, min(source) AS source FROM file_sources WHERE source IS NOT NULL AND regexp_matches(file_id, '\.(ts|mts|cts|tsx|js|jsx|mjs|cjs)$') GROUP BY 1)"""
+
+
+@query(
+    rf"""WITH {_CODE} SELECT DISTINCT file_id AS file, unnest(regexp_extract_all(source, '(?m)^export\s+(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|const|let|var|class|interface|type|enum)\s+([\w$]+)', 1)) AS name FROM src"""
+)
+def parsed_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Names that files export where they declare them."""
+    from thicket.plans.codegraph import parse_sources, tables
+
+    return tables(parse_sources(_sources(spark, folder)))["exports"].filter("kind = 'named' and source is null and local = name").select("file", "name").distinct()
+
+
 @query()
 def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Context of each file's first eight symbols under a budget of 600 tokens."""
@@ -309,12 +331,14 @@ def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT id, CASE WHEN state = 'pending' AND (epoch(TIMESTAMP '2024-06-01') - epoch(date_trunc('second', created_at)) > 31536000 OR h IS NULL OR h IS DISTINCT FROM content_hash) THEN 'expired' ELSE state END AS state FROM (SELECT c.id, CASE WHEN length(c.id) % 2 = 0 THEN 'pending' ELSE 'applied' END AS state, c.embedded_at AS created_at, c.content_hash, CASE WHEN length(c.id) % 3 > 0 THEN c.content_hash ELSE 'x' END AS h FROM (SELECT DISTINCT id, content_hash, embedded_at FROM chunks WHERE embedded_at IS NOT NULL) c)"
+    f"""WITH j AS (SELECT DISTINCT id, repo_id, rel_path AS path, content_hash, indexed_at FROM files), h AS (SELECT repo_id, path, min(hash) AS hash FROM {_DISCOVERED} GROUP BY 1, 2)
+SELECT DISTINCT j.id, CASE WHEN epoch(TIMESTAMP '2024-06-01') - epoch(date_trunc('second', indexed_at)) > 31536000 OR h.hash IS DISTINCT FROM content_hash THEN 'expired' ELSE 'pending' END AS state FROM j LEFT JOIN h ON h.repo_id = j.repo_id AND h.path = j.path"""
 )
 def edit_expiry(spark: SparkSession, folder: str) -> DataFrame:
+    """An edit of each catalogued file, proposed when it was indexed: those a year old or of drifted files have expired."""
     from thicket.operators.edits import current_states
 
-    c = table(spark, folder, "chunks").filter("embedded_at is not null").select("id", "content_hash", "embedded_at").distinct()
-    journal = c.select("id", F.when(F.length("id") % 2 == 0, "pending").otherwise("applied").alias("state"), F.col("embedded_at").alias("created_at"), F.col("id").alias("file_id"), "content_hash")
-    there = c.select(F.col("id").alias("file_id"), F.when(F.length("id") % 3 > 0, F.col("content_hash")).otherwise("x").alias("content_hash"))
-    return current_states(journal, there, F.lit("2024-06-01").cast("timestamp"), 31_536_000).select("id", "state")
+    f = table(spark, folder, "files").select("id", "repo_id", "rel_path", "content_hash", "indexed_at").distinct()
+    journal = f.select("id", F.lit("pending").alias("state"), F.col("indexed_at").alias("created_at"), F.concat("repo_id", F.lit(":"), "rel_path").alias("file_id"), "content_hash")
+    there = discovered(spark, folder).groupBy(F.concat("repo_id", F.lit(":"), "path").alias("file_id")).agg(F.min("hash").alias("content_hash"))
+    return current_states(journal, there, F.lit("2024-06-01").cast("timestamp"), 31_536_000).select("id", "state").distinct()

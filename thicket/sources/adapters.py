@@ -1,12 +1,12 @@
 """The star-schema tables read as a code graph, so that each graph operator has data at any scale, and a twin in SQL.
 
 Customers are symbols, their label by key; nations are files that define them; orders are references between symbols, their type by
-priority; line items bought abroad are imports between files.
+priority; the nations from which a nation's customers buy most line items are what its file imports.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from thicket.sources.stores import snapshot_folder, stored_graph
@@ -14,6 +14,8 @@ from thicket.sources.tables import table
 
 LABELS = ["Component", "Hook", "Context", "Route", "Function"]
 REPO = "shop"
+#: Nations with which a nation trades most: what its file imports.
+PARTNERS = 3
 
 GRAPH_SQL = """
 nodes AS (
@@ -29,9 +31,9 @@ nodes AS (
             WHEN p = '4-NOT SPECIFIED' AND t % 5 = 2 THEN 'CONSUMES_CONTEXT' WHEN p = '5-LOW' AND t % 5 = 3 THEN 'HANDLES' END AS type FROM refs)
     WHERE type IS NOT NULL AND src <> dst
     UNION ALL SELECT 'shop:' || path, id, 'DEFINES', NULL FROM nodes WHERE label <> 'File'
-    UNION ALL SELECT DISTINCT 'shop:n' || c_nationkey || '.ts', 'shop:n' || s_nationkey || '.ts', 'IMPORTS', CASE WHEN (c_nationkey + s_nationkey) % 5 = 0 THEN 'dynamic' ELSE 'static' END
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-        WHERE l_linenumber = 1 AND l_quantity = 1 AND l_discount <= 0.02 AND c_nationkey <> s_nationkey
+    UNION ALL SELECT 'shop:n' || c_nationkey || '.ts', 'shop:n' || s_nationkey || '.ts', 'IMPORTS', CASE WHEN (c_nationkey + s_nationkey) % 5 = 0 THEN 'dynamic' ELSE 'static' END
+        FROM (SELECT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+            WHERE c_nationkey <> s_nationkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, s_nationkey) <= 3)
 )
 """
 
@@ -71,15 +73,17 @@ def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     none = F.lit(None).cast("string")
     used = refs.select("src", F.concat(F.lit("c"), F.col("t")).alias("dst"), kind.alias("type"), none.alias("kind")).filter("type is not null and src <> dst").distinct()
     defines = symbols.select(F.concat(F.lit(REPO + ":"), F.col("path")).alias("src"), F.col("id").alias("dst"), F.lit("DEFINES").alias("type"), none.alias("kind"))
-    items = table(spark, folder, "lineitem").filter("l_linenumber = 1 and l_quantity = 1 and l_discount <= 0.02").select("l_orderkey", "l_suppkey")
-    abroad = (
+    items = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey")
+    traded = (
         items.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, folder, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .filter("c_nationkey <> s_nationkey")
-        .select("c_nationkey", "s_nationkey")
-        .distinct()
+        .groupBy("c_nationkey", "s_nationkey")
+        .agg(F.count("*").alias("n"))
     )
+    most = Window.partitionBy("c_nationkey").orderBy(F.desc("n"), "s_nationkey")
+    abroad = traded.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= PARTNERS)
     imports = abroad.select(
         F.concat(F.lit(REPO + ":n"), F.col("c_nationkey"), F.lit(".ts")).alias("src"), F.concat(F.lit(REPO + ":n"), F.col("s_nationkey"), F.lit(".ts")).alias("dst"), F.lit("IMPORTS").alias("type"),
         F.when((F.col("c_nationkey") + F.col("s_nationkey")) % 5 == 0, "dynamic").otherwise("static").alias("kind"),
