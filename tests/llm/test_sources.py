@@ -1,6 +1,7 @@
 """Faults, provenance and documentation of source files."""
 
 import random
+import re
 import time
 
 import pytest
@@ -102,6 +103,26 @@ def test_copies_need_many_repositories(spark):
     assert machine_made(files.limit(0), sources.limit(0)).isEmpty()
 
 
+def test_renamed_copies_and_forks(spark):
+    r = random.Random(5)
+
+    def body(n):
+        return "\n".join(f"export function f{r.randrange(9999)}(x) {{ if (x.p{r.randrange(99)} > {r.randrange(99)}) {{ return g{r.randrange(99)}(x.q{r.randrange(99)}, '{r.randrange(999)}'); }} }}" for _ in range(n))
+
+    def renamed(text, i):
+        return re.sub(r"\b([fgx])(\d*)\b(?!:)", lambda m: f"{m[1]}{i}_{m[2]}", text)
+
+    lib, app = body(30), [body(60) for _ in range(6)]
+    # Six repositories hold a renamed copy of one library; six forks of a seventh hold all of its own files.
+    rows = [(f"r{i}:lib.js", f"r{i}", "lib.js", "javascript", renamed(lib, i)) for i in range(6)] + [(f"r{i}:own.js", f"r{i}", "own.js", "javascript", app[i]) for i in range(6)]
+    fork = [body(60) for _ in range(4)]
+    rows += [(f"k{i}:{n}.js", f"k{i}", f"{n}.js", "javascript", t) for i in range(6) for n, t in enumerate(fork)]
+    files = spark.createDataFrame([x[:4] for x in rows], FILES)
+    sources = spark.createDataFrame([(x[0], x[4]) for x in rows], SOURCES)
+    assert {x["file_id"] for x in machine_made(files, sources).collect()} == {f"r{i}:lib.js" for i in range(6)}
+    assert fingerprints(lib) == fingerprints(renamed(lib, 7)) and fingerprints(lib, blank=False) != fingerprints(renamed(lib, 7), blank=False)
+
+
 def test_copies_in_other_languages(spark):
     r = random.Random(4)
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thicket.llm.components import connected_components
 from thicket.llm.files import sources_of
 from thicket.session import cut_lineage
 
@@ -20,8 +21,10 @@ GRAM, WINDOW = 64, 16
 COPIED, REPOSITORIES = 0.8, 5
 #: A file needs so many fingerprints to be told a copy.
 LEAST_PRINTS = 3
-#: More shapes of lines than any tool's output has here.
-MANY = 12
+#: Grams of so many tokens must differ to this share for a text to be winnowed with its names blanked: monotonous ones match all of their form.
+VARIED_GRAM, VARIED = 16, 0.5
+#: Repositories with the same least fingerprints in all places of a band are forks of one another: 8 bands of 8 of the 64 parts that hashes fall in.
+PARTS, BAND = 64, 8
 
 CODE_SUFFIX = re.compile(r"\.(?:[cm]?[jt]sx?)$", re.I)
 _SCAN = re.compile(
@@ -53,6 +56,9 @@ _UMD = re.compile(r"typeof define === ?'function' && define\.amd|typeof define==
 # All comments before the first line that says something.
 _AHEAD = re.compile(r"(?:\s*(?://[^\n]*|/\*.*?\*/))+", re.S)
 _CONTROL = {"if", "for", "while", "switch", "try", "throw", "await", "new", "class", "this", "return", "function", "case", "yield", "catch"}
+_WORDS = _CONTROL | set(
+    "var let const import export from default extends static get set of in instanceof typeof delete void true false null undefined break continue do else finally super interface type enum".split()
+)
 
 
 def scan(text: str) -> list[tuple[str, str]]:
@@ -76,22 +82,46 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(steps, dtype=np.uint64)
 
 
-def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW, toks: list[tuple[str, str]] | None = None) -> list[int]:
-    """Winnowed hashes of the token stream without comments and space: of each window the least one, the last of equals.
+def normalized(toks: list[tuple[str, str]]) -> list[str]:
+    """Tokens with the names blanked that a renaming may change: properties, words of the language and literals stay."""
+    out: list[str] = []
+    before = ""
+    for kind, t in toks:
+        if kind not in ("comment", "space"):
+            out.append("a" if kind == "word" and t not in _WORDS and before != "." else t)
+            before = t
+    return out
 
-    Hashes of all grams come from one prefix sum: a gram's is a difference of sums of codes over powers of the base, modulo 2**64.
-    """
-    codes = [zlib.crc32(t.encode("utf-8", "replace")) for kind, t in (scan(text) if toks is None else toks) if kind not in ("comment", "space")]
+
+def _grams(codes: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all grams from one prefix sum: a gram's is a difference of sums of codes over powers of the base, modulo 2**64."""
     n = len(codes)
-    if n < gram:
-        return []
-    c = np.array(codes, dtype=np.uint64)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(c * _powers(_INVERSE, n), out=sums[1:])
+    np.cumsum(codes * _powers(_INVERSE, n), out=sums[1:])
     hashes = (sums[gram:] - sums[:-gram]) * _powers(_BASE, n)[gram - 1 :]
     # The high bits of such a product are well mixed, the low ones aren't.
     hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    hashes = (hashes >> np.uint64(1)).astype(np.int64)
+    return (hashes >> np.uint64(1)).astype(np.int64)
+
+
+def _codes(tokens: list[str]) -> np.ndarray:
+    known: dict[str, int] = {}
+    return np.array([known[t] if t in known else known.setdefault(t, zlib.crc32(t.encode("utf-8", "replace"))) for t in tokens], dtype=np.uint64)
+
+
+def fingerprints(text: str, gram: int = GRAM, window: int = WINDOW, toks: list[tuple[str, str]] | None = None, blank: bool = True) -> list[int]:
+    """Winnowed hashes of the token stream without comments and space: of each window the least one, the last of equals.
+
+    With ``blank`` names are blanked, so that a renamed copy has the prints of its model, unless the text is then too monotonous to tell.
+    """
+    toks = scan(text) if toks is None else toks
+    plain = [t for kind, t in toks if kind not in ("comment", "space")]
+    if len(plain) < gram:
+        return []
+    codes = _codes(normalized(toks) if blank else plain)
+    if blank and len(np.unique(_grams(codes, VARIED_GRAM))) < VARIED * (len(codes) - VARIED_GRAM + 1):
+        codes = _codes(plain)
+    hashes = _grams(codes, gram)
     if len(hashes) <= window:
         return [int(hashes.min())]
     views = np.lib.stride_tricks.sliding_window_view(hashes, window)
@@ -132,10 +162,7 @@ def _numbered(text: str) -> int:
 
 
 def _skeletons(text: str) -> tuple[int, int]:
-    """(lines that say something, distinct shapes among them), with names, numbers and strings blanked; imports and barrels aside.
-
-    Beyond MANY shapes a text is no tool's, however many more lines follow; counting ends there.
-    """
+    """(lines that say something, distinct shapes among them), with names, numbers and strings blanked; imports and barrels aside."""
     shapes: set[str] = set()
     n = 0
     for line in text.split("\n"):
@@ -146,8 +173,6 @@ def _skeletons(text: str) -> tuple[int, int]:
         line = re.sub(r"[\w$]+", lambda m: m[0] if m[0] in _CONTROL else "0" if m[0][0].isdigit() else "a", line)
         shapes.add(re.sub(r"(?:[aS0][.,]?\s?)+", "a", line))
         n += 1
-        if len(shapes) > MANY:
-            break
     return n, len(shapes)
 
 
@@ -208,14 +233,33 @@ def written_by(text: str | None, path: str | None, language: str | None = None,
     return None
 
 
+def families(prints: DataFrame) -> DataFrame | None:
+    """(repo_id, family) of repositories that share most of their fingerprints, as forks do; None where there are none.
+
+    Each repository has the least of its hashes in each of ``PARTS`` parts; those that agree in a whole band are linked to the least of
+    them, and linked ones are one family. With 8 bands of 8, repositories alike to 0.9 are linked with probability 0.99, those alike to
+    0.5 with 0.03.
+    """
+    least = prints.groupBy("repo_id", F.pmod("h", F.lit(PARTS)).alias("part")).agg(F.min("h").alias("least"))
+    # At most BAND entries a group; PARTS small rows a repository are all that is left of its prints.
+    by_band = least.groupBy("repo_id", F.floor(F.col("part") / BAND).alias("band")).agg(F.array_sort(F.collect_list(F.struct("part", "least"))).alias("s"))
+    signs = cut_lineage(by_band.filter(F.size("s") == BAND).select("repo_id", "band", F.xxhash64("s").alias("sign")))
+    # One link for each repository of a band, to the first of it: never all pairs.
+    first = signs.groupBy("band", "sign").agg(F.min("repo_id").alias("first"))
+    links = cut_lineage(signs.join(first, ["band", "sign"]).filter("repo_id <> first").select(F.col("repo_id").alias("a"), F.col("first").alias("b")).distinct())
+    if links.isEmpty():
+        return None
+    return connected_components(links).select(F.col("node").alias("repo_id"), F.col("component").alias("family"))
+
+
 def machine_made(files: DataFrame, sources: DataFrame, copied: float = COPIED, repositories: int = REPOSITORIES) -> DataFrame:
     """(file_id, reason): files that weren't written by hand in their repository.
 
     Each text of any language is judged by its own build and winnowed once, where it is read. A fingerprint recurs if it stands in at least
-    ``repositories`` repositories; a file whose fingerprints do so to the share ``copied`` is a copy of third-party code, whatever
-    its own build. Fingerprints are reduced to (hash, repository) before they are counted, so a text that a third of all files hold
-    weighs one row a repository; nothing is collected by group. Null, empty and blank sources are no cases. Copies of rows count
-    once, and where texts of one file differ, any case makes it one.
+    ``repositories`` unrelated repositories, forks of one another counting as one; a file whose fingerprints do so to the share ``copied`` is
+    a copy of third-party code, whatever its own build. Fingerprints are reduced to (hash, repository) before they are counted, so
+    a text that a third of all files hold weighs one row a repository; nothing is collected by group. Null, empty and blank sources
+    are no cases. Copies of rows count once, and where texts of one file differ, any case makes it one.
     """
     texts = sources_of(files, sources)
 
@@ -223,17 +267,21 @@ def machine_made(files: DataFrame, sources: DataFrame, copied: float = COPIED, r
         for batch in batches:
             out = []
             for file, repo, path, language, text in zip(batch["file_id"], batch["repo_id"], batch["rel_path"], batch["language"], batch["source"]):
-                toks = scan(text) if language != "other" or CODE_SUFFIX.search(path or "") else None
-                prints = fingerprints(text, toks=scan_plain(text) if toks is None else toks)
-                out.append((file, repo, written_by(text, path, language, toks), prints if len(prints) >= LEAST_PRINTS else []))
+                code = language != "other" or bool(CODE_SUFFIX.search(path or ""))
+                toks = scan(text) if code else scan_plain(text)
+                # Other languages have no words of their own here that could be told from names.
+                prints = fingerprints(text, toks=toks, blank=code)
+                out.append((file, repo, written_by(text, path, language, toks if code else None), prints if len(prints) >= LEAST_PRINTS else []))
             yield pd.DataFrame(out, columns=["file_id", "repo_id", "reason", "prints"])
 
-    # Read twice below; what is kept of a text is an eighth of its tokens.
+    # Read several times below; what is kept of a text is an eighth of its tokens.
     seen = cut_lineage(texts.mapInPandas(judged, "file_id string, repo_id string, reason string, prints array<long>"))
     prints = seen.filter(F.size("prints") > 0).select("file_id", "repo_id", F.size("prints").alias("n"), F.explode("prints").alias("h"))
-    often = (
-        prints.select("h", "repo_id").distinct().groupBy("h").agg(F.count("*").alias("repos")).filter(F.col("repos") >= repositories).select("h")
-    )
+    held = prints.select("h", "repo_id").distinct()
+    related = families(held)
+    if related is not None:
+        held = held.join(related, "repo_id", "left").select("h", F.coalesce("family", "repo_id").alias("repo_id")).distinct()
+    often = held.groupBy("h").agg(F.count("*").alias("repos")).filter(F.col("repos") >= repositories).select("h")
     copies = (
         prints.join(often, "h", "left_semi")
         .groupBy("file_id", "n")
