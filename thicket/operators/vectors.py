@@ -222,6 +222,25 @@ def in_cells(data: DataFrame, key: str, vector: str, centres: np.ndarray, probes
     return rows.mapInPandas(placed, f"key {kind}, vector array<double>, cell int").withColumnRenamed("key", key)
 
 
+#: Queries, those of the least hashes, by which the number of cells to probe is chosen, and the share of true neighbours that these must hold.
+PROBED, WANTED = 100, 0.95
+
+
+def choose_probes(data: DataFrame, queries: DataFrame, centres: np.ndarray, key: str, vector: str, k: int = 20, query_key: str = "query", wanted: float = WANTED) -> int:
+    """The least number of cells whose rows hold ``wanted`` of the true neighbours of at most ``PROBED`` queries, found by brute force."""
+    sample = queries.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(query_key)).limit(PROBED)
+    exact = top_k(data, sample, key, vector, k, query_key).select(query_key, key)
+    both = exact.join(sample.select(query_key, F.col(vector).alias("_q")), query_key).join(data.select(key, F.col(vector).alias("_d")), key)
+    # At most PROBED * k pairs.
+    pairs = [(r["_q"], r["_d"]) for r in both.select("_q", "_d").collect() if len(r["_d"]) == centres.shape[1]]
+    if not pairs:
+        return 1
+    own = (_matrix([d for _, d in pairs]) @ centres.T).argmax(axis=1)
+    order = np.argsort(-(_matrix([q for q, _ in pairs]) @ centres.T), axis=1, kind="stable")
+    places = np.sort((order == own[:, None]).argmax(axis=1))
+    return int(places[min(len(places) - 1, int(np.ceil(wanted * len(places))) - 1)]) + 1
+
+
 def top_k_in_cells(celled: DataFrame, queries: DataFrame, centres: np.ndarray, key: str, vector: str, k: int = 20, probes: int = 16, query_key: str = "query") -> DataFrame:
     """(query, key, score, rank): as ``top_k`` but each query is compared with the rows of its ``probes`` nearest cells only.
 

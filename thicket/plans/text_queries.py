@@ -165,6 +165,30 @@ def vector_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.top_k(e.filter(vectors.matches_filters(["1", "3"])), asked, "vec_id", "embedding", 10).select("query", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+def ivf_lists(spark: SparkSession, folder: str, k: int = 10) -> DataFrame:
+    """The stated query set by an inverted file: cells fitted on at most 20,000 rows, probes chosen by at most 100 queries, every row in one cell."""
+    e = table(spark, folder, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    centres = vectors.fit_cells(e, "vec_id", "embedding")
+    probes = vectors.choose_probes(e, asked, centres, "vec_id", "embedding", k)
+    return vectors.top_k_in_cells(vectors.in_cells(e, "vec_id", "embedding", centres), asked, centres, "vec_id", "embedding", k, probes)
+
+
+@query()
+def vector_topk_ivf(spark: SparkSession, folder: str) -> DataFrame:
+    return ivf_lists(spark, folder).select("query", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("SELECT true AS enough")
+def ivf_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the inverted file finds at least 0.9 of what brute force does."""
+    e = table(spark, folder, "embeddings")
+    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "embedding")
+    exact = vectors.top_k(e, asked, "vec_id", "embedding", 10).select("query", "vec_id")
+    found = ivf_lists(spark, folder).select("query", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query", "vec_id"], "left").agg((F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
