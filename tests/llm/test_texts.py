@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from thicket.llm.mixing import plan_mixture, rake, reached_marginals, reached_shares
-from thicket.llm.splitting import split_oversized, split_text
+from thicket.llm.splitting import own_lines, split_oversized, split_text, token_sums
 from thicket.llm.subjects import assign_subjects, subject_scores, subject_shares
 from thicket.llm.tokens import coder, encode_tree, token_ids
 
@@ -34,6 +34,25 @@ def test_cuts_at_definitions_then_lines():
         split_text("x", [], 10, 5)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab \n{};é🏽日́", min_size=30, max_size=400), st.integers(12, 30), st.integers(0, 5))
+def test_pieces_by_tokens(text, limit, overlap):
+    encode, decode = coder()
+    sums = token_sums(text, encode, decode)
+    assert sums[0] == 0 and sums[-1] == len(encode(text)) and sums == sorted(sums)
+    pieces = split_text(text, [], limit, overlap, sums)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
+    for (a, b), (c, d) in zip(pieces, pieces[1:]):
+        assert a < c <= b < d and (sums[b] - sums[c] >= overlap or c == a + 1)
+    assert all(sums[b] - sums[a] <= limit or b == a + 1 for a, b in pieces)
+
+
+def test_parts_know_their_lines():
+    body = "// part 2\n" + "\n".join(f"line {n}" for n in range(111, 231))
+    assert own_lines("r:a#f~1", body, [120, 230, 231, 5], 111, 230) == [10, 120] and own_lines("r:a#f~1", body + "\nmore", [120], 111, 230) == []
+    assert body.split("\n")[10] == "line 120" and own_lines("r:a#f", "// head\nline 7\nline 8", [8], 7, 8) == [2]
+
+
 def test_split_table(spark):
     big = "\n".join("x" * 50 for _ in range(100))
     chunks = spark.createDataFrame([("r:a#f", "r:a#f", big), ("r:a#f", "r:a#f", big), ("b", "b", "short"), ("c", "c", None), ("d", "d", "🎼" * 4001), ("e", "e", "y" * 4000)], "id string, symbol_id string, content string").withColumn("piece", F.lit("clash"))
@@ -47,6 +66,9 @@ def test_split_table(spark):
         assert joined == text and all(len(r["content"]) <= 4000 for r in got[chunk])
     assert got["r:a#f"][1]["start"] + 200 == 51 * 70
     assert split_oversized(chunks.limit(0), symbols).isEmpty() and split_oversized(chunks).count() == 4
+    encode, _ = coder()
+    by_tokens = split_oversized(chunks, symbols, 300, 20, "byte_bpe_50k").filter("chunk_id = 'r:a#f'").orderBy("start").collect()
+    assert len(by_tokens) > 1 and all(len(encode(r["content"])) <= 310 for r in by_tokens) and big.endswith(by_tokens[-1]["content"])
 
 
 PIECES = st.lists(st.sampled_from(["a", "the ", " the", " ", "  ", "\n", "\n\n", "'s", "'", "é", "日本", "1", "12", "!", "🎼", "\t", "<|endoftext|>", "x" * 40, "abc def ", ".\n"]), max_size=120)
