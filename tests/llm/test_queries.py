@@ -17,6 +17,6 @@ def test_query(spark, name):
         assert df.columns == STATED[name] and len(set(rows)) == len(rows)
     if name in SQL:
         con = duckdb.connect()
-        for t in ("chunks", "chat_messages", "chat_sessions"):
+        for t in ("chunks", "chat_messages", "chat_sessions", "documents", "mix_targets"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         assert sorted(rows) == sorted(con.execute(SQL[name]).fetchall())

@@ -56,10 +56,30 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).filter("piece = 0").select("chunk_id").distinct()
 
 
+def p5_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each oversized chunk the hash of its pieces put together again, and whether they keep to limit and overlap."""
+    pieces = p5_pieces(spark, folder)
+    # A chunk's own pieces, as long together as the chunk that a row held.
+    held = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece", "start", "content"))).alias("p"))
+    size, joint = splitting.LIMIT, splitting.OVERLAP
+    rest = F.transform("p", lambda x: F.when(x["piece"] == 0, x["content"]).otherwise(x["content"].substr(joint + 1, size)))
+    begins = F.forall(
+        F.sequence(F.lit(1), F.greatest(F.size("p") - 1, F.lit(1))),
+        lambda k: F.get("p", k).isNull() | (F.left(F.get("p", k)["content"], F.lit(joint)) == F.right(F.get("p", k - 1)["content"], F.lit(joint))),
+    )
+    small = F.forall("p", lambda x: F.length(x["content"]) <= size)
+    return held.select("chunk_id", F.left(F.sha2(F.array_join(rest, ""), 256), F.lit(16)).alias("hash"), (begins & small).alias("sound"))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.token_ids(table(spark, folder, "documents"))
 
 
+def p6_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each document the hash of the text that its ids stand for."""
+    return tokens.decoded(p6_ids(spark, folder)).select("doc_id", F.left(F.sha2("text", 256), F.lit(16)).alias("hash"))
+
+
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(mixture, measured documents, targets)."""
     targets = table(spark, folder, "mix_targets")
@@ -76,6 +96,16 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_shares(mixture, targets)
 
 
+def p7_reached(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each source with a target: whether its share is within 0.02 of what is due to it and no document is used too often."""
+    shares = p7_shares(spark, folder).filter("target_share > 0")
+    # One row: the shares of the targets that have documents.
+    due = shares.filter("documents > 0").agg(F.sum("target_share").alias("met"))
+    goal = F.when(F.col("documents") > 0, F.col("target_share") / F.col("met")).otherwise(0.0)
+    near = F.abs(F.col("actual_share") - goal) <= 0.02
+    return shares.crossJoin(F.broadcast(due)).select("source", (near & (F.col("most_repeats") <= F.coalesce("max_repeats", F.lit(1)))).alias("reached"))
+
+
 def p7_marginals(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.reached_marginals(*_mixture(spark, folder))
 
@@ -98,7 +128,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p7_marginals, p8_found, p8_subjects, p8_shares)
+    f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_flags, p2_rates, p3_found, p3_reasons, p4_found, p4_pairs, p5_found, p5_pieces, p5_whole, p6_ids, p6_texts, p7_mixture, p7_shares, p7_reached, p7_marginals, p8_found, p8_subjects, p8_shares)
 }
 
 
@@ -121,5 +151,8 @@ o AS (SELECT session_id, who, lead(who) OVER w AS next, lag(who) OVER w AS prior
 SQL = {
     "p1_found": f"""WITH {_TURNS} SELECT session_id FROM (SELECT id AS session_id FROM chat_sessions WHERE id IS NOT NULL UNION SELECT session_id FROM m) WHERE session_id NOT IN (SELECT session_id FROM o WHERE who = 'q')
 OR session_id IN (SELECT session_id FROM t WHERE moment IS NULL OR who IS NULL OR (who IN ('q', 'r') AND NOT is_full)) OR session_id IN (SELECT session_id FROM o WHERE (who = 'r' AND prior IS NULL) OR (who = 'q' AND (next IS NULL OR next = 'q')))""",
+    "p7_reached": "SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_-]+', '-', 'g') AS source, true AS reached FROM mix_targets WHERE source IS NOT NULL AND target_share > 0",
+    "p5_whole": "SELECT DISTINCT id AS chunk_id, substr(sha256(content), 1, 16) AS hash, true AS sound FROM chunks WHERE length(content) > 4000",
+    "p6_texts": "SELECT doc_id, substr(sha256(coalesce(text, '')), 1, 16) AS hash FROM documents",
     "p5_found": "SELECT DISTINCT id AS chunk_id FROM chunks WHERE length(content) > 4000",
 }

@@ -136,3 +136,14 @@ def token_ids(
         .applyInPandas(joined, out)
     )
     return whole.unionByName(long)
+
+
+def decoded(ids: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
+    """(doc_id, text): the texts that ``ids(doc_id, ids)`` stand for; an empty list is an empty text."""
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, decode = coder(folder, name)
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [decode(list(map(int, x))).decode("utf-8", "replace") for x in batch["ids"]]})
+
+    return ids.mapInPandas(texts, "doc_id bigint, text string")
