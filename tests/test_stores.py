@@ -34,6 +34,12 @@ def test_keyword_store(spark, tmp_path):
     assert found("red") == ["d"] and store.stats().first()["n"] == 3
     store.upsert(spark.createDataFrame([("b", "red again", "y")], "id string, text string, kind string"))
     assert set(found("red")) == {"b", "d"}
+    # What a write that was cut off has left is neither read nor kept.
+    bm25.postings(rows, "id", {"text": 1.0}, ["kind"]).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(str(tmp_path / "k" / "rows" / "gen=5"))
+    assert set(found("red")) == {"b", "d"}
+    none = KeywordStore(spark, str(tmp_path / "none"), "id", {"text": 1.0}, ["kind"])
+    none.upsert(rows.limit(0))
+    assert none.exists() and none.search("red").isEmpty() and none.live_keys().isEmpty()
     before = {r["id"]: r["score"] for r in store.search("red fox", 10).collect()}
     store.compact()
     assert before == {r["id"]: r["score"] for r in store.search("red fox", 10).collect()}

@@ -8,6 +8,7 @@ A row is live if its generation is its key's newest and no later delete names it
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -52,34 +53,39 @@ class _Generations:
     def __init__(self, spark: SparkSession, folder: str, key: str, keep: list[str] | None = None):
         self.spark, self.folder, self.key, self.keep = spark, folder.rstrip("/"), key, keep or []
 
-    def _ready(self, name: str) -> bool:
-        return bool(_files(self.spark, f"{self.folder}/{name}"))
+    def _generations(self, name: str) -> list[int]:
+        """The generations of a part that were written to their end."""
+        found = (re.search(r"gen=(\d+)$", n) for n, _, _ in _files(self.spark, f"{self.folder}/{name}"))
+        return [int(m[1]) for m in found if m and _files(self.spark, f"{self.folder}/{name}/gen={m[1]}/_SUCCESS")]
 
     def exists(self) -> bool:
         """Whether anything was ever written; the keys come last, so a write that was cut off doesn't count."""
-        return self._ready("keys")
+        return bool(self._generations("keys"))
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        # What a write that was cut off left behind isn't read.
+        gens = self._generations("keys" if name == "rows" else name)
+        return self.spark.read.parquet(f"{self.folder}/{name}").filter(F.col("gen").isin(gens))
 
     def _generation(self) -> int:
-        names = [n for part in ("keys", "gone") if self._ready(part) for n, _, _ in _files(self.spark, f"{self.folder}/{part}")]
-        found = [int(n.rsplit("gen=", 1)[1]) for n in names if "gen=" in n]
-        return max(found, default=0)
+        return max([*self._generations("keys"), *self._generations("gone")], default=0)
 
     def _rows(self, rows: DataFrame) -> DataFrame:
         raise NotImplementedError
 
-    def _parts(self) -> list[str]:
-        return ["gen"]
+    #: Columns by which a generation's rows lie in folders.
+    parts: tuple[str, ...] = ()
 
     def upsert(self, rows: DataFrame) -> None:
         """Writes rows with unique keys; those of a key replace what it had. Null keys are left out."""
         gen = self._generation() + 1
         rows = rows.filter(F.col(self.key).isNotNull())
-        made = self._rows(rows).withColumn("gen", F.lit(gen))
-        made.write.mode("append").partitionBy(*self._parts()).parquet(f"{self.folder}/rows")
-        self._keys(rows).withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{self.folder}/keys")
+        self._put(self._rows(rows), self._keys(rows), gen)
+
+    def _put(self, rows: DataFrame, keys: DataFrame, gen: int) -> None:
+        # Over what an earlier try left there.
+        rows.write.mode("overwrite").partitionBy(*self.parts).parquet(f"{self.folder}/rows/gen={gen}")
+        keys.write.mode("overwrite").parquet(f"{self.folder}/keys/gen={gen}")
 
     def _keys(self, rows: DataFrame) -> DataFrame:
         return rows.select(self.key, *self.keep)
@@ -87,7 +93,7 @@ class _Generations:
     def delete(self, keys: DataFrame) -> None:
         """Forgets the rows of ``keys``; unknown ones are no fault."""
         gen = self._generation() + 1
-        keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct().withColumn("gen", F.lit(gen)).write.mode("append").partitionBy("gen").parquet(f"{self.folder}/gone")
+        keys.select(self.key).filter(F.col(self.key).isNotNull()).distinct().write.mode("overwrite").parquet(f"{self.folder}/gone/gen={gen}")
 
     def live_keys(self) -> DataFrame:
         """(key, gen, further columns) of what is live."""
@@ -95,23 +101,30 @@ class _Generations:
         if keys.select("gen").distinct().limit(2).count() > 1:
             last = F.max_by(F.struct(*[c for c in keys.columns if c != self.key]), "gen")
             keys = keys.groupBy(self.key).agg(last.alias("x")).select(self.key, "x.*")
-        if self._ready("gone"):
+        if self._generations("gone"):
             gone = self._read("gone").groupBy(self.key).agg(F.max("gen").alias("until"))
             keys = keys.join(gone, self.key, "left").filter("until is null or until < gen").drop("until")
         return keys
 
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows of live keys; where nothing was ever replaced or deleted, all rows are."""
-        if self._generation() <= 1:
+        if len(self._generations("keys")) == 1 and not self._generations("gone"):
             return rows
         return rows.join(self.live_keys().select(self.key, "gen"), [self.key, "gen"], "left_semi")
 
     def compact(self) -> None:
         """Rewrites the live rows as the one generation there is. Not for use beside other writers."""
-        rows, keys = cut_lineage(self._live(self._read("rows")).withColumn("gen", F.lit(1))), cut_lineage(self.live_keys().withColumn("gen", F.lit(1)))
-        rows.write.mode("overwrite").partitionBy(*self._parts()).parquet(f"{self.folder}/rows")
-        keys.write.mode("overwrite").partitionBy("gen").parquet(f"{self.folder}/keys")
-        self.wipe("gone")
+        rows, keys = cut_lineage(self._live(self._read("rows")).drop("gen")), cut_lineage(self.live_keys().drop("gen"))
+        gen = self._generation() + 1
+        self._put(rows, keys, gen)
+        for n in range(1, gen):
+            for name in ("keys", "rows", "gone"):
+                self.wipe(f"{name}/gen={n}")
+
+    def _glob(self, pattern: str) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{pattern}")
+        found = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+        return found is not None and len(found) > 0
 
     def wipe(self, name: str = "") -> None:
         """Removes the store, or one of its parts."""
@@ -126,8 +139,7 @@ class KeywordStore(_Generations):
         super().__init__(spark, folder, key, keep)
         self.weights = weights
 
-    def _parts(self) -> list[str]:
-        return ["gen", "bucket"]
+    parts = ("bucket",)
 
     def _rows(self, rows: DataFrame) -> DataFrame:
         made = bm25.postings(rows, self.key, self.weights, self.keep)
@@ -140,6 +152,10 @@ class KeywordStore(_Generations):
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """(key, further columns, term, tf, size) of live rows; of some terms, only their folders are read."""
+        if not self._glob("rows/gen=*/bucket=*"):
+            # Nothing that was written has a token.
+            none = self._read("keys").limit(0).select(self.key, *self.keep)
+            return none.select("*", F.lit("").alias("term"), F.lit(0.0).alias("tf"), F.lit(0).alias("size"))
         rows = self._read("rows")
         if terms is not None:
             spots = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"))).distinct().collect()]
