@@ -178,6 +178,19 @@ def test_leading_comments(content, target, comments):
     assert leading_comments(content, target)[0] == comments
 
 
+@pytest.mark.parametrize(
+    "content,comments",
+    [
+        ("// a.ts · function f\nexport default f;\nclass A { x() {} }\n/** Told late. */\nfunction f(a) {\n  // inside\n}", ["/** Told late. */"]),
+        ("// a.ts · function f\nf.limit = 3;\nif (f) { f(1); }\n// Told late.\nexport const f = () => {};", ["// Told late."]),
+        ("// a.ts · function f\nf(1);\n/** Told late. */\nasync function f(a) {}", ["/** Told late. */"]),
+        ("// a.ts · method C.f\nf(a: string): void;\n/** Told late. */\nf(a: number): void {}\n// A call.\nf(2);", ["/** Told late. */"]),
+    ],
+)
+def test_definitions_late_in_a_text(content, comments):
+    assert leading_comments(content, "f")[0] == comments == leading_comments(content, "f", True)[0]
+
+
 def test_pairs(spark):
     symbols = spark.createDataFrame(
         [("r:a#f", "Function", "f", "function f()", "Retries twice, then gives up."), ("r:a#f", "Function", "f", "function f()", "Retries twice, then gives up."), ("r:a#g", "method", "g", None, None), ("r:a#C", "class", "C", None, "Keeps what was read first."), ("r:a#h", "HOOK", "h", "h()", "/** */"), ("r:a#i", "component", "i", "i()", "Waits for the slower side."), (None, "function", "x", None, None)],
