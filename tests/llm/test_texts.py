@@ -131,6 +131,16 @@ def test_mixture(spark):
     assert plan_mixture(measured.limit(0), targets).isEmpty() and plan_mixture(measured, targets.limit(0)).isEmpty()
 
 
+def test_mixture_is_the_same_however_many_cells(spark):
+    r = random.Random(2)
+    docs = [(i, r.choice(["big", "small"]), f"l{chr(97 + min(int(r.expovariate(0.3)), 25))}", r.choice(["law", "none"]), r.randrange(1, 200)) for i in range(3000)]
+    measured = spark.createDataFrame(docs, "doc_id long, source string, lang string, topic string, tokens long")
+    targets = spark.createDataFrame([("big", 0.8, 2), ("small", 0.2, 4)], "source string, target_share double, max_repeats int")
+    few = sorted(tuple(x) for x in plan_mixture(measured, targets).collect())
+    with mock.patch("thicket.llm.mixing.MOST_CELLS", 8):
+        assert few == sorted(tuple(x) for x in plan_mixture(measured, targets).collect())
+
+
 SPORT = "The striker limped off. Two late goals turned the match. The referee showed no mercy."
 LAW = "Der Kläger legte Berufung ein. Das Urteil der Richterin steht fest. Die Zeugen schwiegen."
 

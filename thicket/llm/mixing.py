@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from thicket.llm.subjects import assign_matched, listed, passages_of
 from thicket.llm.tokens import LEAF, TOKENIZERS, VOCABULARY, coder, encode_tree
 from thicket.session import cut_lineage, spread
 
-#: Cells of (source, language, topic) that the driver may hold; more raise an error.
+#: Cells of (source, language, topic) that are broadcast to the documents; more are joined by a shuffle, with the same result.
 MOST_CELLS = 200_000
 #: Bins of the sampling variable in which thresholds are calibrated for each source.
 BINS = 4_096
@@ -103,23 +104,6 @@ def goals_of(targets: DataFrame) -> DataFrame:
     )
 
 
-def _folded(used: DataFrame) -> tuple[DataFrame, int]:
-    """(sums of tokens, how many): sums of tokens by (source, lang, topic), with the cells that stand for them, at most
-    ``MOST_CELLS``: beyond that the least languages are one, and then all topics, too."""
-    cells = used.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    n, sources, topics = cells.agg(F.count("*"), F.countDistinct("source"), F.countDistinct("topic")).first()
-    if n <= MOST_CELLS:
-        return cells.withColumn("lang_cell", F.col("lang")).withColumn("topic_cell", F.col("topic")), n
-    if sources > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} sources with a target")
-    room = MOST_CELLS // sources
-    kept = room // topics - 1
-    often = cells.groupBy("lang").agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(max(kept, 0)).select("lang", F.lit(True).alias("own"))
-    topic = F.col("topic") if room >= topics else F.lit("all")
-    rare = F.when(F.col("own"), F.col("lang")).otherwise("rest")
-    return cells.join(F.broadcast(often), "lang", "left").withColumn("lang_cell", rare).withColumn("topic_cell", topic).drop("own"), n
-
-
 def plan_mixture(measured: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 42) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, repeats): how many times each used document enters the mixture.
 
@@ -130,16 +114,13 @@ def plan_mixture(measured: DataFrame, targets: DataFrame, total_tokens: int | No
     falls under a threshold, calibrated for each source so that its tokens come to the goal. Documents without tokens aren't
     used; repeated doc_ids are one document each row. Empty tables give no rows.
 
-    The driver sees at most ``MOST_CELLS`` sums of tokens; where there are more languages than that allows, the rarest are raked as one.
+    All cells of (source, language, topic) are raked, however many there are. The driver holds one sum of tokens for each: sources are
+    those of the targets, topics those of the vocabulary and the list, and a language is a code of 2 or 3 letters.
     """
     spark = measured.sparkSession
     goals = goals_of(targets)
     used = measured.filter("tokens > 0").join(goals, "source")
-    folded, n = _folded(used)
-    folded = cut_lineage(folded)
-    cells = (
-        folded.groupBy("source", "lang_cell", "topic_cell").agg(F.sum("tokens").alias("tokens")).join(goals, "source").orderBy("source", "lang_cell", "topic_cell").toPandas()
-    )
+    cells = used.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).join(goals, "source").orderBy("source", "lang", "topic").toArrow().to_pandas()
     if cells.empty:
         return measured.limit(0).withColumn("repeats", F.lit(0))
     source, names = pd.factorize(cells["source"])
@@ -150,7 +131,7 @@ def plan_mixture(measured: DataFrame, targets: DataFrame, total_tokens: int | No
     have = np.bincount(source, size, len(names))
     total = float(total_tokens) if total_tokens else float((cap * have / share).min())
     keys, wanted = [source], [np.minimum(share * total, cap * have)]
-    for column in ("lang_cell", "topic_cell"):
+    for column in ("lang", "topic"):
         codes, values = pd.factorize(cells[column])
         keys.append(codes)
         goal = np.bincount(codes, size, len(values))
@@ -159,10 +140,8 @@ def plan_mixture(measured: DataFrame, targets: DataFrame, total_tokens: int | No
     cells["base"] = np.floor(cells["weight"] + 1e-9)
     cells["part"] = (cells["weight"] - cells["base"]).clip(lower=0)
     cells["goal"] = wanted[0][source]
-    # At most MOST_CELLS rows, so small enough to broadcast.
-    weights = F.broadcast(spark.createDataFrame(cells[["source", "lang_cell", "topic_cell", "base", "part", "goal"]]))
-    table = folded.select("source", "lang", "topic", "lang_cell", "topic_cell").distinct().join(weights, ["source", "lang_cell", "topic_cell"]).drop("lang_cell", "topic_cell")
-    if n <= MOST_CELLS:
+    table = spark.createDataFrame(pa.Table.from_pandas(cells[["source", "lang", "topic", "base", "part", "goal"]], preserve_index=False))
+    if len(cells) <= MOST_CELLS:
         table = F.broadcast(table)
     unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     drawn = used.select("doc_id", "source", "lang", "topic", "tokens").join(table, ["source", "lang", "topic"]).withColumn(
@@ -180,7 +159,7 @@ def plan_mixture(measured: DataFrame, targets: DataFrame, total_tokens: int | No
     none = F.struct(F.abs(F.col("left")).alias("off"), F.lit(-1).cast("long").alias("edge"))
     edges = steps.groupBy("source").agg(F.min(F.least(here, none)).alias("best")).select("source", F.col("best.edge").alias("edge"))
     return (
-        # One row a source, of which there are at most MOST_CELLS.
+        # One row a source with a target.
         drawn.join(F.broadcast(edges), "source")
         .withColumn("repeats", (F.col("base") + F.when((F.col("bin") >= 0) & (F.col("bin") <= F.col("edge")), 1).otherwise(0)).cast("int"))
         .filter("repeats > 0")
