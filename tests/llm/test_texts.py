@@ -178,6 +178,27 @@ def test_labels_move_thresholds_and_new_subjects_are_found(spark):
     assert {(r["doc_id"], r["subject"]) for r in assign_subjects(docs, labels, listed).collect()} == {(1, "chess"), (2, "sport")}
 
 
+def test_thresholds_come_from_all_labels(spark):
+    from thicket.llm.subjects import THRESHOLD, calibrated, thresholds_of
+
+    r = random.Random(4)
+    # Labels of law say 1.5 is enough only in the last tenth of many documents; sport has one score more than labels.
+    labels = [(i, "law") for i in range(12_000)] + [(i, "music") for i in range(0, 12_000, 3)]
+    scores = [(i, "law", 2.0 if i < 10_800 else 1.5) for i in range(12_000)] + [(i, s, r.choice([1.3, 1.6, 1.9, 2.4])) for i in range(0, 14_000, 2) for s in ("music", "sport")]
+    limits = calibrated(spark.createDataFrame(scores, "doc_id long, subject string, score double"), spark.createDataFrame(labels + [(5, " Law "), (None, "law"), (6, None)], "doc_id long, subject string"))
+    assert limits == thresholds_of(scores, labels) and abs(limits["law"] - 1.5) < 1e-6 and set(limits) == {"law", "music"} and THRESHOLD == 1.7
+
+
+def test_labels_beyond_five_thousand_count(spark):
+    # The documents of the greatest hashes are those whose text tells that a lower threshold is right.
+    ids = [x[0] for x in spark.range(5_100).orderBy(F.xxhash64("id"), "id").collect()]
+    text = "The striker limped off. By the way, the referee showed mercy."
+    docs = spark.createDataFrame([(i, text if n >= 5_000 else "Nothing of note.") for n, i in enumerate(ids)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "sport") for i in ids], "doc_id long, subject string")
+    assert {x["doc_id"] for x in assign_subjects(docs, labels).collect()} == set(ids[5_000:])
+    assert assign_subjects(docs).isEmpty()
+
+
 def test_windows_bound_long_lists():
     term = "- the parcel was on its way to the depot\n"
     once, often = (subject_scores(term * n).get("transport", (0, 0))[0] for n in (8, 800))

@@ -20,9 +20,10 @@ from thicket.session import cut_lineage, spread
 #: Score of a window of WINDOW units from which on it treats a subject, where the labels don't tell better, and the number of units that
 #: must carry it. Windows of one length make scores comparable, however long a text is: one passing sentence scores at most 1.
 THRESHOLD, LEAST_UNITS, WINDOW = 1.7, 2, 8
-#: Thresholds are calibrated within this reach of THRESHOLD on at most so many labelled documents, those of the least hashes. One step of
-#: the calibration away from THRESHOLD must save so many errors, a second one three times as many, and so on.
-REACH, STEP, MOST_LABELLED, STIFFNESS = 0.4, 0.1, 5_000, 1.0
+#: Thresholds are calibrated within this reach of THRESHOLD on all labelled documents. One step of the calibration away from THRESHOLD
+#: must save so many errors, a second one three times as many, and so on.
+REACH, STEP, STIFFNESS = 0.4, 0.1, 1.0
+STEPS = range(-round(REACH / STEP), round(REACH / STEP) + 1)
 #: Units without a subject's term that a passage may hold between two that have one.
 GAP = 2
 #: Weight of a term that only supports, and of any term in a line of code without prose.
@@ -311,26 +312,27 @@ def thresholds_of(scores: Iterable[tuple[int, str, float]], labels: Iterable[tup
         if doc in labelled:
             own = seen.setdefault(subject, {})
             own[doc] = max(score, own.get(doc, 0.0))
-    steps = range(-round(REACH / STEP), round(REACH / STEP) + 1)
     out = {}
     for subject, docs in said.items():
         own = seen.get(subject, {})
+        out[subject] = _threshold([len({doc for doc, score in own.items() if score >= THRESHOLD + k * STEP - 1e-9} ^ docs) for k in STEPS])
+    return out
 
-        def errors(k: int) -> float:
-            found = {doc for doc, score in own.items() if score >= THRESHOLD + k * STEP - 1e-9}
-            return len(found ^ docs) + STIFFNESS * k * k
 
-        out[subject] = THRESHOLD + min(steps, key=lambda k: (errors(k), abs(k), k)) * STEP
-    return out
+def _threshold(errors: Iterable[int]) -> float:
+    """The threshold of the step with the fewest errors, those of ``STEPS`` in order."""
+    return THRESHOLD + min(zip(errors, STEPS), key=lambda x: (x[0] + STIFFNESS * x[1] * x[1], abs(x[1]), x[1]))[1] * STEP
 
 
-def calibrated(matched: DataFrame, labels: DataFrame, rarity: dict[int, float], extra: tuple[tuple[str, str], ...] = (), least_units: int = LEAST_UNITS) -> dict[str, float]:
-    """Thresholds by the labels of at most ``MOST_LABELLED`` documents, those of the least hashes."""
+def calibrated(scores: DataFrame, labels: DataFrame) -> dict[str, float]:
+    """Thresholds as ``thresholds_of`` has them, by all labels. ``scores`` are (doc_id, subject, score); only the errors of each step are collected, a row a subject."""
     said = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("subject")).alias("subject")).filter("doc_id is not null and subject is not null").distinct()
-    sample = said.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    told = [(r[0], r[1]) for r in said.join(F.broadcast(sample), "doc_id", "left_semi").collect()]
-    known = _score_rows(matched.join(F.broadcast(sample), "doc_id", "left_semi"), rarity, extra).filter(F.col("units") >= least_units)
-    return thresholds_of(((r["doc_id"], r["subject"], r["score"]) for r in known.collect()), told)
+    own = scores.join(said.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    both = own.join(said.withColumn("said", F.lit(True)), ["doc_id", "subject"], "full")
+    found = [F.coalesce(F.col("score") >= THRESHOLD + k * STEP - 1e-9, F.lit(False)) for k in STEPS]
+    is_said = F.coalesce("said", F.lit(False))
+    errors = both.groupBy("subject").agg(F.array(*[F.count_if(f != is_said) for f in found]).alias("errors"), F.count("said").alias("n"))
+    return {r["subject"]: _threshold(r["errors"]) for r in errors.filter("n > 0").collect()}
 
 
 def listed(subjects: DataFrame | None) -> tuple[tuple[str, str], ...]:
@@ -343,10 +345,14 @@ def listed(subjects: DataFrame | None) -> tuple[tuple[str, str], ...]:
 def assign_matched(matched: DataFrame, labels: DataFrame | None = None, extra: tuple[tuple[str, str], ...] = (), least_units: int = LEAST_UNITS) -> DataFrame:
     """(doc_id, subject, score) by what was found in the texts."""
     rarity = term_rarity(matched, extra)
-    limits = calibrated(matched, labels, rarity, extra, least_units) if labels is not None else {}
+    rows = _score_rows(matched, rarity, extra).filter(F.col("units") >= least_units)
+    limits = {}
+    if labels is not None:
+        # Read twice: a short row for each document and subject with evidence.
+        rows = cut_lineage(rows)
+        limits = calibrated(rows, labels)
     limit = reduce(lambda c, x: F.when(F.col("subject") == x[0], x[1]).otherwise(c), sorted(limits.items()), F.lit(THRESHOLD))
-    rows = _score_rows(matched, rarity, extra).filter((F.col("units") >= least_units) & (F.col("score") >= limit - 1e-9))
-    return rows.groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
+    return rows.filter(F.col("score") >= limit - 1e-9).groupBy("doc_id", "subject").agg(F.max("score").alias("score"))
 
 
 def assign_subjects(documents: DataFrame, labels: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
@@ -355,8 +361,8 @@ def assign_subjects(documents: DataFrame, labels: DataFrame | None = None, subje
     ``labels`` (doc_id, subject) calibrate the thresholds, ``subjects`` (subject, description) name what is looked for; a subject unknown to the
     curated vocabulary is found by its name and description. Null, empty and blank texts have no subject. Texts of any length
     are read as a whole, extra columns are ignored, and rows that repeat a doc_id give each subject once with its best score. Without
-    labels, and for subjects without label, ``THRESHOLD`` holds. Texts are read once and aren't shuffled; nothing grows on the driver but one
-    count a term and the scores of at most ``MOST_LABELLED`` documents.
+    labels, and for subjects without label, ``THRESHOLD`` holds. Texts are read once and aren't shuffled; what reaches the driver is one
+    count a term and the errors of each threshold.
     """
     extra = listed(subjects)
     return assign_matched(match_terms(documents, extra), labels, extra)
