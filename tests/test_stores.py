@@ -212,3 +212,21 @@ def test_whole_documents_as_queries_take_no_row_for_each_pair(spark, monkeypatch
         monkeypatch.setattr(bm25, name, value)
     again = {(x["query"], x["rank"]): (x["id"], x["score"]) for x in bm25.search_all(index, stats, terms, "id", 5).collect()}
     assert again.keys() == got.keys() and all(again[x][0] == got[x][0] and abs(again[x][1] - got[x][1]) < 1e-6 for x in got)
+
+
+@pytest.mark.parametrize("name", ["hybrid_search"])
+def test_retrieval_of_many_documents_ends_in_time(spark, tmp_path, name):
+    import time
+
+    import numpy as np
+
+    from thicket.plans.text_queries import QUERIES
+
+    n, words = 4_000, 60
+    has = np.random.default_rng(3).random((n, words)) < np.linspace(0.9, 0.01, words)
+    # Every third document is a query.
+    rows = [((i // 3) * 100 + i % 3, " ".join(f"w{j}x" for j in np.flatnonzero(has[i])), "en", "s") for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert time.time() - began < 60 and len({x["query"] for x in got}) == -(-n // 3)
