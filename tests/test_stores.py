@@ -214,7 +214,7 @@ def test_whole_documents_as_queries_take_no_row_for_each_pair(spark, monkeypatch
     assert again.keys() == got.keys() and all(again[x][0] == got[x][0] and abs(again[x][1] - got[x][1]) < 1e-6 for x in got)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "rerank_overlap"])
+@pytest.mark.parametrize("name", ["hybrid_search", "rerank_overlap", "recall_at_k"])
 def test_retrieval_of_many_documents_ends_in_time(spark, tmp_path, name):
     import time
 
