@@ -230,3 +230,39 @@ def test_retrieval_of_many_documents_ends_in_time(spark, tmp_path, name):
     began = time.time()
     got = QUERIES[name](spark, str(tmp_path)).collect()
     assert time.time() - began < 60 and len({x["query"] for x in got}) == -(-n // 3)
+
+
+def test_batches_of_documents_read_texts_and_store_no_index(spark, tmp_path):
+    from pathlib import Path
+
+    from thicket.plans.text_queries import QUERIES
+    from thicket.session import shared_folder
+
+    rows = [(i, f"word{i % 3} shared {'rare' if i == 7 else ''}" if i % 50 else None, "en", "s") for i in range(401)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    stored = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("thicket-document-*")}
+    before = stored()
+    assert QUERIES["hybrid_search"](spark, str(tmp_path)).isEmpty()
+    assert stored() == before
+    # As over an index: weights of several columns, texts without tokens, rows without a key, ties by key.
+    texts = spark.createDataFrame([(f"d{i * 7 % 50:02}" if i else None, f"word{i % 3} shared a{i % 11}" if i % 9 else None, f"a{i % 5} Shared") for i in range(50)], "id string, text string, name string")
+    asked = texts.filter("id is not null").select(F.col("id").alias("query"), F.explode(bm25.query_terms(F.concat_ws(" ", "text", "name"))).alias("term"))
+    weights, known = {"text": 1.0, "name": 2.5}, texts.filter("id is not null")
+    want = bm25.search_all(bm25.postings(known, "id", weights), bm25.corpus_stats(known, weights), asked, "id", 4)
+    as_rows = lambda df: {(r["query"], r["rank"], r["id"], round(r["score"], 9)) for r in df.collect()}
+    assert as_rows(bm25.search_rows(texts.repartition(3), asked, "id", weights, 4)) == as_rows(want) != set()
+    assert bm25.search_rows(texts.limit(0), asked, "id", weights).isEmpty() and bm25.search_rows(texts, asked.limit(0), "id", weights).isEmpty()
+
+
+def test_best_rows_of_blocks_in_any_order():
+    import pyarrow as pa
+
+    from thicket.operators.ranking import Best
+
+    r = np.random.default_rng(5)
+    scores, names = r.integers(-3, 4, (20, 300)) / 7, [f"d{i:03}" for i in r.permutation(300)]
+    own = Best(6, 20)
+    for at in range(0, 300, 50):
+        own.add(scores[:, at : at + 50], pa.array(names[at : at + 50]))
+    want = [(q, names[i]) for q in range(20) for i in sorted(range(300), key=lambda i: (-scores[q, i], names[i]))[:6]]
+    assert list(zip(own.query.tolist(), own.keys.to_pylist())) == want

@@ -1,7 +1,10 @@
-"""Ranks over whole tables without a single-task sort."""
+"""Ranks over whole tables without a single-task sort, and the best rows of many queries."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,3 +21,41 @@ def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     bases = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return parts.withColumn("_n", within).join(bases, "_part").withColumn(name, (F.col("_base") + F.col("_n")).cast("int")).drop("_part", "_n", "_base")
+
+
+#: Scores are ranked as rounded to 9 digits; what lies so near to the last place may still take it.
+NEAR = 2e-9
+
+
+class Best:
+    """The ``k`` best rows of each query so far: by score as rounded to 9 digits, then by key. Only scores above ``above`` count, if it is given."""
+
+    def __init__(self, k: int, queries: int, above: float | None = None):
+        self.k, self.queries, self.above = k, queries, above
+        self.query, self.score, self.near = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.floor = np.full(queries, -np.inf)
+        self.keys: pa.Array | None = None
+
+    def add(self, scores: np.ndarray, keys: pa.Array) -> None:
+        """``scores`` has a line for each query and a column for each key. What can't be among the best is told by comparisons, so that few scores are ever sorted."""
+        good = ~(scores < (self.floor - NEAR)[:, None])
+        if self.above is not None:
+            good &= scores > self.above
+        many = np.flatnonzero(np.count_nonzero(good, axis=1) > 4 * self.k) if scores.shape[1] > self.k else []
+        if len(many):
+            last = np.partition(scores[many], -self.k, axis=1)[:, -self.k]
+            good[many] &= ~(scores[many] < (last - NEAR)[:, None])
+        query, row = np.nonzero(good)
+        if not len(query):
+            return
+        new, score = keys.take(pa.array(row)), scores[query, row]
+        near = np.round(score, 9)
+        keys = new if self.keys is None else pa.concat_arrays([self.keys, new])
+        query, score, near = np.concatenate([self.query, query]), np.concatenate([self.score, score]), np.concatenate([self.near, near])
+        order = np.lexsort((pc.rank(keys, tiebreaker="dense").to_numpy(), -near, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.keys = keys.take(pa.array(order))
+        self.query, self.score, self.near = query[order], score[order], near[order]
+        full = rank == self.k - 1
+        self.floor[self.query[full]] = self.near[full]

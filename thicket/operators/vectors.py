@@ -9,9 +9,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thicket.operators.ranking import Best
+
 DIMENSIONS = 256
 #: Rows of a block of queries, and of data; a pair of blocks is one small matrix product.
 QUERY_BLOCK, DATA_BLOCK = 512, 8_192
@@ -33,6 +37,18 @@ def cosine(a: Column, b: Column) -> Column:
 MOST_HASHED = 1 << 18
 
 
+class _Cells(dict):
+    """The number of each token's cell: its dimension, and more by ``dimensions`` where its sign is negative."""
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> int:
+        h = hashlib.sha1(token.encode()).digest()
+        cell = self[token] = int.from_bytes(h[:2], "big") % self.dimensions + h[2] % 2 * self.dimensions
+        return cell
+
+
 def mock_vectors(rows: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, keep_empty: bool = False) -> DataFrame:
     """(key, vector array<double>): the normalised hash embedding of each row's text, made inside the row.
 
@@ -41,30 +57,29 @@ def mock_vectors(rows: DataFrame, key: str, text: str, dimensions: int = DIMENSI
     """
     kind = dict(rows.dtypes)[key]
 
-    def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells: dict[str, tuple[int, int]] = {}
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = _Cells(dimensions)
         for batch in batches:
-            keys, out = [], []
-            for k, low in zip(batch["key"], batch["low"]):
-                counts = Counter(_TOKEN.findall(low)) if low else {}
-                v = np.zeros(dimensions)
-                for t, n in counts.items():
-                    cell = cells.get(t)
-                    if cell is None:
-                        if len(cells) >= MOST_HASHED:
-                            cells.clear()
-                        h = hashlib.sha1(t.encode()).digest()
-                        cell = cells[t] = (int.from_bytes(h[:2], "big") % dimensions, 1 if h[2] % 2 == 0 else -1)
-                    v[cell[0]] += n * cell[1]
-                norm = np.sqrt(v @ v)
-                if norm > 0:
-                    v /= norm
-                if norm > 0 or keep_empty:
-                    keys.append(k)
-                    out.append(v)
-            yield pd.DataFrame({"key": pd.Series(keys, dtype=batch["key"].dtype), "vector": out})
-
-    made = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low")).mapInPandas(embed, f"key {kind}, vector array<double>")
+            held, counts = [], np.zeros(len(batch), np.int64)
+            for i, low in enumerate(batch.column("low").to_pylist()):
+                if low:
+                    tokens = _TOKEN.findall(low)
+                    counts[i] = len(tokens)
+                    held.extend(map(cells.__getitem__, tokens))
+                    if len(cells) > MOST_HASHED:
+                        cells.clear()
+            # A cell and its sign are one number: the first half of the numbers adds, the second takes away.
+            cell = np.array(held, dtype=np.int64)
+            spots = np.repeat(np.arange(len(batch)), counts) * dimensions + cell % dimensions
+            m = np.bincount(spots, np.where(cell < dimensions, 1.0, -1.0), len(batch) * dimensions).reshape(len(batch), dimensions)
+            has = m.any(axis=1)
+            keys = batch.column("key")
+            if not keep_empty:
+                keys, m = keys.filter(pa.array(has)), m[has]
+            ends = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dimensions)
+            yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(_normal(m).ravel()))], names=["key", "vector"])
+
+    made = rows.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("low")).mapInArrow(embed, f"key {kind}, vector array<double>")
     return made.withColumnRenamed("key", key)
 
 
@@ -86,10 +101,21 @@ def embed_with(rows: DataFrame, key: str, text: str, embedder: Callable[[list[st
 
 
 def _matrix(rows: list) -> np.ndarray:
-    m = np.array(rows, dtype=np.float64)
+    return _normal(np.array(rows, dtype=np.float64))
+
+
+def _normal(m: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(m, axis=1, keepdims=True)
-    np.divide(m, norm, out=m, where=norm > 0)
-    return m
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def _by_size(ids: pa.Array, vectors: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(size, ids, matrix) of the vectors of each size."""
+    long = pc.list_value_length(vectors)
+    for size in pc.unique(long).to_pylist():
+        has = pc.equal(long, size)
+        own = vectors.filter(has)
+        yield size, ids.filter(has), own.flatten().to_numpy(zero_copy_only=False).reshape(len(own), size)
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,40 +141,28 @@ def top_k(data: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 2
     if n * 64 + numbers * 8 > MOST_QUERY_BYTES:
         found = _block_pairs(data, queries, key, vector, k, query_key, schema)
     else:
-        by_size: dict[int, tuple[list, np.ndarray]] = {}
-        held: dict[int, list] = {}
-        for r in asked.collect():
-            held.setdefault(len(r["v"]), []).append(r)
-        for size, rows in held.items():
-            by_size[size] = ([r["id"] for r in rows], _matrix([r["v"] for r in rows]))
+        rows = asked.toArrow().combine_chunks()
+        by_size = {size: (ids, _normal(m)) for size, ids, m in _by_size(rows["id"].combine_chunks(), rows["v"].combine_chunks())}
         shared = data.sparkSession.sparkContext.broadcast(by_size)
 
-        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[tuple[int, int], Best] = {}
             for batch in batches:
-                sizes = batch["v"].map(len)
-                for size, rows in batch.groupby(sizes):
+                for size, ids, m in _by_size(batch.column("id"), batch.column("v")):
                     if size not in shared.value:
                         continue
-                    names, m = shared.value[size]
-                    ids = rows["id"].to_numpy(dtype=object)
-                    places, scores = _best(m, ids, _matrix(list(rows["v"])), k)
-                    pair = (ids[places], scores)
-                    if size in kept:
-                        # The best of what is kept and of the new rows: by score, then by id.
-                        before = kept[size]
-                        both_ids = np.concatenate([before[0], pair[0]], axis=1)
-                        both = np.concatenate([before[1], pair[1]], axis=1)
-                        rows_of = [sorted(range(both.shape[1]), key=lambda j, i=i: (-both[i, j], both_ids[i, j]))[:k] for i in range(len(names))]
-                        pick = np.array(rows_of)
-                        pair = (np.take_along_axis(both_ids, pick, axis=1), np.take_along_axis(both, pick, axis=1))
-                    kept[size] = pair
-            for size, (ids, scores) in kept.items():
-                names = shared.value[size][0]
-                yield pd.DataFrame({query_key: [q for q in names for _ in range(ids.shape[1])], key: ids.ravel(), "score": scores.ravel()})
+                    asked, parts = shared.value[size][1], -(-len(m) // DATA_BLOCK)
+                    for ids_of, block in zip(np.array_split(np.arange(len(m)), parts), np.array_split(_normal(m), parts)):
+                        for first in range(0, len(asked), QUERY_BLOCK):
+                            q = asked[first : first + QUERY_BLOCK]
+                            own = kept.setdefault((size, first), Best(k, len(q)))
+                            own.add(q @ block.T, ids.slice(ids_of[0], len(block)))
+            for (size, first), own in kept.items():
+                names = shared.value[size][0].take(pa.array(own.query + first))
+                yield pa.RecordBatch.from_arrays([names, own.keys, pa.array(own.near)], names=[query_key, key, "score"])
 
         rows = data.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-        found = rows.mapInPandas(nearest, schema)
+        found = rows.mapInArrow(nearest, schema)
     order = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
