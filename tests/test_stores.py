@@ -232,19 +232,23 @@ def test_retrieval_of_many_documents_ends_in_time(spark, tmp_path, name):
     assert time.time() - began < 60 and len({x["query"] for x in got}) == -(-n // 3)
 
 
-def test_batches_of_documents_read_texts_and_store_no_index(spark, tmp_path):
+@pytest.mark.parametrize("name", ["hybrid_search", "recall_at_k"])
+def test_batches_of_documents_store_no_index(spark, tmp_path, name):
     from pathlib import Path
 
     from thicket.plans.text_queries import QUERIES
     from thicket.session import shared_folder
 
-    rows = [(i, f"word{i % 3} shared {'rare' if i == 7 else ''}" if i % 50 else None, "en", "s") for i in range(401)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, f"word{i % 3} shared a{i % 50}" if i != 200 else None, "en", "s") for i in range(301)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     stored = lambda: {p.name for p in Path(shared_folder(spark).removeprefix("file:")).glob("thicket-document-*")}
     before = stored()
-    assert QUERIES["hybrid_search"](spark, str(tmp_path)).isEmpty()
+    assert {r["query"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {0, 100, 300}
     assert stored() == before
-    # As over an index: weights of several columns, texts without tokens, rows without a key, ties by key.
+
+
+def test_batches_of_rows_as_over_an_index(spark):
+    # Weights of several columns, texts without tokens, rows without a key, ties by key.
     texts = spark.createDataFrame([(f"d{i * 7 % 50:02}" if i else None, f"word{i % 3} shared a{i % 11}" if i % 9 else None, f"a{i % 5} Shared") for i in range(50)], "id string, text string, name string")
     asked = texts.filter("id is not null").select(F.col("id").alias("query"), F.explode(bm25.query_terms(F.concat_ws(" ", "text", "name"))).alias("term"))
     weights, known = {"text": 1.0, "name": 2.5}, texts.filter("id is not null")
