@@ -232,7 +232,7 @@ def test_retrieval_of_many_documents_ends_in_time(spark, tmp_path, name):
     assert time.time() - began < 60 and len({x["query"] for x in got}) == -(-n // 3)
 
 
-@pytest.mark.parametrize("name", ["hybrid_search", "recall_at_k"])
+@pytest.mark.parametrize("name", ["hybrid_search", "recall_at_k", "rerank_overlap"])
 def test_batches_of_documents_store_no_index(spark, tmp_path, name):
     from pathlib import Path
 
