@@ -270,3 +270,39 @@ def test_best_rows_of_blocks_in_any_order():
         own.add(scores[:, at : at + 50], pa.array(names[at : at + 50]))
     want = [(q, names[i]) for q in range(20) for i in sorted(range(300), key=lambda i: (-scores[q, i], names[i]))[:6]]
     assert list(zip(own.query.tolist(), own.keys.to_pylist())) == want
+
+
+def test_tokens_of_columns_as_of_texts(spark, monkeypatch):
+    import pyarrow as pa
+
+    from thicket.functions import text, words
+
+    texts = ["a1 b", "b", "", None, "x" * 50 + " 9$_y", "Ünï ÇA été-ΣΑΣ", "-", "語 x٣ 😀z", "end", "é"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts * 3)], "id int, text string").withColumn("low", F.lower("text"))
+    rows = df.select("low", text.index_tokens(F.coalesce("low", F.lit(""))).alias("want")).orderBy("id").toArrow().combine_chunks()
+    for piece in (words.PIECE, 1, 40):
+        monkeypatch.setattr(words, "PIECE", piece)
+        for low, want in ((rows["low"], rows["want"].to_pylist()), (rows["low"].slice(3, 9), rows["want"].to_pylist()[3:12]), (rows["low"].slice(0, 0), [])):
+            sizes, tokens = words.index_tokens(pa.array(low.to_pylist(), pa.string()) if piece == 40 else low.combine_chunks() if not len(low) else low.chunk(0))
+            ends = np.cumsum(sizes).tolist()
+            assert [tokens.to_pylist()[b - n : b] for b, n in zip(ends, sizes.tolist())] == want
+
+
+@pytest.mark.parametrize("name", ["recall_at_k", "rerank_overlap"])
+def test_only_queries_are_embedded_as_queries(spark, tmp_path, monkeypatch, name):
+    from thicket.operators import vectors
+    from thicket.plans.text_queries import QUERIES
+
+    rows = [(i, f"word{i % 3} shared a{i % 50}", "en", "s") for i in range(301)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, top_k = [], vectors.top_k
+
+    def seen(data, queries, *rest):
+        # What goes into the embedder on the queries' side: no filter behind it, few rows ahead of it.
+        plan = queries._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append("Filter" in plan.split("MapInArrow")[0])
+        return top_k(data, queries, *rest)
+
+    monkeypatch.setattr(vectors, "top_k", seen)
+    assert {r["query"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {0, 100, 200, 300}
+    assert sizes == [False]

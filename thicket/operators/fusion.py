@@ -48,8 +48,9 @@ def _global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def rerank_by_overlap(candidates: DataFrame, query: str, content: str, prior: str = "rank", by: list[str] | None = None) -> DataFrame:
-    """``candidates`` with (overlap, reranked): how many distinct tokens query and content share; ties keep the prior order."""
-    shared = F.size(F.array_intersect(embed_tokens(F.coalesce(F.col(query), F.lit(""))), embed_tokens(F.coalesce(F.col(content), F.lit("")))))
+    """``candidates`` with (overlap, reranked): how many distinct tokens query and content share; ties keep the prior order. Both are texts or arrays of their tokens."""
+    kinds = dict(candidates.dtypes)
+    shared = F.size(F.array_intersect(*[F.col(c) if kinds[c].startswith("array") else embed_tokens(F.coalesce(F.col(c), F.lit(""))) for c in (query, content)]))
     scored = candidates.withColumn("overlap", shared)
     if not by:
         from thicket.operators.ranking import global_rank

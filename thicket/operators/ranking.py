@@ -38,14 +38,18 @@ class Best:
 
     def add(self, scores: np.ndarray, keys: pa.Array) -> None:
         """``scores`` has a line for each query and a column for each key. What can't be among the best is told by comparisons, so that few scores are ever sorted."""
-        good = ~(scores < (self.floor - NEAR)[:, None])
-        if self.above is not None:
-            good &= scores > self.above
-        many = np.flatnonzero(np.count_nonzero(good, axis=1) > 4 * self.k) if scores.shape[1] > self.k else []
+        least = (self.floor - NEAR)[:, None]
+        good = ~(scores < least) if self.above is None else scores >= np.maximum(least, np.nextafter(self.above, np.inf))
+        # Read as they lie in memory.
+        by_query = good.flags.c_contiguous
+        spot = np.flatnonzero(good if by_query else good.T)
+        query, row = np.divmod(spot, good.shape[1]) if by_query else np.divmod(spot, good.shape[0])[::-1]
+        many = np.flatnonzero(np.bincount(query, minlength=self.queries) > 4 * self.k) if scores.shape[1] > self.k else []
         if len(many):
-            last = np.partition(scores[many], -self.k, axis=1)[:, -self.k]
-            good[many] &= ~(scores[many] < (last - NEAR)[:, None])
-        query, row = np.nonzero(good)
+            last = np.full(self.queries, -np.inf)
+            last[many] = np.partition(scores[many], -self.k, axis=1)[:, -self.k]
+            kept = ~(scores[query, row] < last[query] - NEAR)
+            query, row = query[kept], row[kept]
         if not len(query):
             return
         new, score = keys.take(pa.array(row)), scores[query, row]

@@ -71,7 +71,8 @@ def mock_vectors(rows: DataFrame, key: str, text: str, dimensions: int = DIMENSI
             # A cell and its sign are one number: the first half of the numbers adds, the second takes away.
             cell = np.array(held, dtype=np.int64)
             spots = np.repeat(np.arange(len(batch)), counts) * dimensions + cell % dimensions
-            m = np.bincount(spots, np.where(cell < dimensions, 1.0, -1.0), len(batch) * dimensions).reshape(len(batch), dimensions)
+            # Without any token the counts aren't floats.
+            m = np.bincount(spots, np.where(cell < dimensions, 1.0, -1.0), len(batch) * dimensions).astype(np.float64).reshape(len(batch), dimensions)
             has = m.any(axis=1)
             keys = batch.column("key")
             if not keep_empty:
